@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmark.llm import mixture, tokens
+from driftmark.llm import lookalikes, mixture, tokens
 from driftmark.runtime import table
 
 
@@ -20,5 +20,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_target")).report
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.consistent_forms(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "form")
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.look_alike_classes_of(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
 SQL: dict[str, str] = {}
