@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftmark.llm import lookalikes, mixture, tokens
+from driftmark.llm import lookalikes, mixture, splitting, tokens
 from driftmark.runtime import table
 
 
+_SPLIT = (("structure_pair", "pair_id", "target_content"), ("diff_file", "diff_id", "patch"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        splitting.piece_counts(table(spark, d, t), i, c, "loaded_at").where("n_pieces > 1").select(F.lit(t).alias("tab"), "rec_id")
+        for t, i, c in _SPLIT
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    parts = [splitting.split_texts(table(spark, d, t), i, c, "loaded_at").withColumn("tab", F.lit(t)) for t, i, c in _SPLIT]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.with_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -32,5 +49,8 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_classes_of(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
-SQL: dict[str, str] = {}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
+SQL: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT 'structure_pair' AS tab, pair_id AS rec_id FROM structure_pair WHERE length(target_content) > 3000 "
+    "UNION ALL SELECT DISTINCT 'diff_file', diff_id FROM diff_file WHERE length(patch) > 3000",
+}
