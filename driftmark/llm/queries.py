@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import lookalikes, mixture, splitting, tokens
-from driftmark.runtime import table
+from driftmark.llm import lookalikes, markup, mixture, splitting, tokens
+from driftmark.runtime import latest_by, table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = markup.found_kinds(table(spark, d, "documents"), "doc_id", "text")
+    pairs = markup.found_kinds(table(spark, d, "structure_pair"), "pair_id", "target_content", leave_out=("markdown",))
+    return docs.select(F.lit("documents").alias("tab"), "rec_id", "kind").unionByName(pairs.select(F.lit("structure_pair").alias("tab"), "rec_id", "kind"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    docs = markup.cleaned(table(spark, d, "documents"), "doc_id", "text").withColumn("tab", F.lit("documents"))
+    pairs = latest_by(table(spark, d, "structure_pair"), ["pair_id"], "loaded_at", ["target_content"])
+    return docs.unionByName(markup.cleaned(pairs, "pair_id", "target_content").withColumn("tab", F.lit("structure_pair")))
+
+
+def p2_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    return markup.host_wrappers(table(spark, d, "documents"), "source", "text")
 
 
 _SPLIT = (("structure_pair", "pair_id", "target_content"), ("diff_file", "diff_id", "patch"))
@@ -49,7 +65,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_classes_of(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p2_wrappers": p2_wrappers, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
 SQL: dict[str, str] = {
     "p4_found": "SELECT DISTINCT 'structure_pair' AS tab, pair_id AS rec_id FROM structure_pair WHERE length(target_content) > 3000 "
     "UNION ALL SELECT DISTINCT 'diff_file', diff_id FROM diff_file WHERE length(patch) > 3000",
