@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import lookalikes, markup, mixture, splitting, tokens
+from driftmark.llm import lookalikes, markup, mixture, splitting, tokens, truncation
 from driftmark.runtime import latest_by, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "section_apply")).where("cut").select("apply_id")
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(truncation.truncated(table(spark, d, "section_apply")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     docs = markup.found_kinds(table(spark, d, "documents"), "doc_id", "text")
     pairs = markup.found_kinds(table(spark, d, "structure_pair"), "pair_id", "target_content", leave_out=("markdown",))
@@ -65,7 +73,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_classes_of(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p2_wrappers": p2_wrappers, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_clean": p2_clean, "p2_wrappers": p2_wrappers, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
 SQL: dict[str, str] = {
     "p4_found": "SELECT DISTINCT 'structure_pair' AS tab, pair_id AS rec_id FROM structure_pair WHERE length(target_content) > 3000 "
     "UNION ALL SELECT DISTINCT 'diff_file', diff_id FROM diff_file WHERE length(patch) > 3000",
