@@ -114,7 +114,7 @@ def truncated(df: DataFrame, *, id_col: str = "apply_id", text_col: str = "targe
 
     Of redelivered records the latest version holds. Null, empty and blank texts aren't cut. A text whose
     code block or table row is left open is cut (``open_block``, ``open_row``); so is one that lacks the
-    end mark its source has (``end_mark``), and one whose ending is one by no other text (``ending``). A text
+    end mark its source has, or ends in an unfinished sentence where its source goes on (``end_mark``), and one whose ending is one by no other text (``ending``). A text
     without end mark whose source has none either is judged by its ending alone. Null languages are one
     language; a null source says nothing. Very long texts are read whole. An empty table gives no row.
     """
@@ -154,6 +154,7 @@ def truncated(df: DataFrame, *, id_col: str = "apply_id", text_col: str = "targe
         .when(F.col("last.kind") == "t", F.when(~F.col("last.text").rlike(r"\|$") | ((F.col("before.kind") == "t") & (cells < cells_before)), "open_row"))
         .when(sure, F.when(known & (F.col("b.inside") >= rules.least_marked) & (F.col("b.terminal") == 0), "ending"))
         .when(~marked & source_marked & same_kind, "end_mark")
+        .when(~marked & (F.col("last.kind") == "p") & F.col("s_last").isNotNull() & ~same_kind, "end_mark")
         .when(rare, "ending")
     )
     out = judged.select("id", "provider", reason.alias("reason"))
