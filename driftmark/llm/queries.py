@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import lookalikes, markup, mixture, splitting, tokens, truncation
+from driftmark.llm import alignment, lookalikes, markup, mixture, splitting, tokens, truncation
 from driftmark.runtime import latest_by, table
 
 
@@ -49,6 +49,11 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = alignment.pairs_of_pages(table(spark, d, "structure_pair"))
+    return alignment.align_sentences(pages.unionByName(alignment.pairs_of_sides(table(spark, d, "diff_file"))))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.with_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -73,7 +78,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_classes_of(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_clean": p2_clean, "p2_wrappers": p2_wrappers, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_clean": p2_clean, "p2_wrappers": p2_wrappers, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_sample": p7_sample, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
 SQL: dict[str, str] = {
     "p4_found": "SELECT DISTINCT 'structure_pair' AS tab, pair_id AS rec_id FROM structure_pair WHERE length(target_content) > 3000 "
     "UNION ALL SELECT DISTINCT 'diff_file', diff_id FROM diff_file WHERE length(patch) > 3000",
