@@ -25,8 +25,10 @@ from driftmark.llm import sentences
 from driftmark.runtime import checkpointed, ship
 
 #: Terms are hashed into so many buckets per pair of languages; dimensions of the vectors, and of the sketch beyond them.
-BUCKETS, DIMENSIONS, SPARE, SEED = 1 << 15, 96, 32, 7
+BUCKETS, DIMENSIONS, SPARE, SEED = 1 << 15, 64, 24, 7
 _BLOCK = 512
+#: Ends a sentence's terms in the packed arrays; stands for no term.
+_STOP = (1 << 16) - 1
 
 # Frequent function words, to tell the language of a text whose language isn't given.
 _FUNCTION_WORDS = {
@@ -47,7 +49,7 @@ class Thresholds:
     """Least cosines of pairs: with equal names, without any, with names in part in common; and for merged windows, with the least gain over one part."""
 
     named: float = 0.35
-    plain: float = 0.72
+    plain: float = 0.75
     partly: float = 0.45
     window: float = 0.72
     gain: float = 0.02
@@ -56,29 +58,35 @@ class Thresholds:
     order_weight: float = 0.02
 
 
-def language(lang: str | None, words: list[str]) -> str:
+def language(lang: str | None, found: list[str]) -> str:
     """Two-letter language: the given one without region, else by script and function words; '' if nothing tells."""
     if lang and lang.strip():
         return re.split(r"[-_]", lang.strip().lower())[0]
     votes: Counter[str] = Counter()
-    for w in words:
-        if w >= "一":
-            votes["zh"] += 1
-        for x in _OF_WORD.get(w, ()):
+    for w in (w for s in found for w in sentences.tokens(s)):
+        if "一" <= w[0] <= "鿿":
+            votes["zh"] += 2
+        for x in _OF_WORD.get(w.lower(), ()):
             votes[x] += 1
     return min(votes, key=lambda k: (-votes[k], k)) if votes else ""
 
 
-def _hash(memo: dict[str, int], words: list[str], size: int) -> list[int]:
-    out = []
-    for w in words:
-        h = memo.get(w)
-        if h is None:
-            if len(memo) > 500_000:
+def _hashed(sentence: str, memo: dict) -> tuple[list[int], list[int]]:
+    """(terms, names) of a sentence as hashes. memo: of tokens, begun anew when full."""
+    words: list[int] = []
+    names: set[int] = set()
+    for token in sentences.tokens(sentence):
+        held = memo.get(token)
+        if held is None:
+            if len(memo) > 300_000:
                 memo.clear()
-            h = memo[w] = zlib.crc32(w.encode()) % size
-        out.append(h)
-    return out
+            name, terms = sentences.terms_of(token)
+            held = memo[token] = name, [zlib.crc32(x.encode()) % ((1 << 31) if name else BUCKETS) for x in terms]
+        if held[0]:
+            names.add(held[1][0])
+        else:
+            words += held[1]
+    return words, sorted(names)
 
 
 def _pack(values, kind) -> bytes:
@@ -92,42 +100,63 @@ _PREPARED = (
 )
 
 
-def prepare_one(source: str, target: str, source_lang: str | None, target_lang: str | None, patch: bool, memo: dict, names_memo: dict) -> list | None:
+def prepare_one(source: str, target: str, source_lang: str | None, target_lang: str | None, patch: bool, memo: dict) -> list | None:
     """The packed columns of one pair of texts from ``langs`` on; None if a side has no sentence."""
     cut = sentences.of_patch if patch else sentences.of_markdown
-    sides = []
-    for text in (source, target):
+    sides, langs, out = [], [], []
+    for text, lang in ((source, source_lang), (target, target_lang)):
         found = cut(text)
         if not found:
             return None
-        sides.append(([p for p, _ in found], [sentences.terms(s) for _, s in found]))
-    la, lb = (language(lang, [w for ws, _ in side[1] for w in ws]) for lang, side in zip((source_lang, target_lang), sides))
-    out: list = ["-".join(sorted((la, lb)))]
-    hashed = []
-    for at, parts in sides:
-        ids = [_hash(memo, ws, BUCKETS) for ws, _ in parts]
-        names = [sorted(set(_hash(names_memo, ns, 1 << 31))) for _, ns in parts]
-        hashed.append((ids, names))
-        out += [_pack(at, np.int32), _pack([len(x) for x in ids], np.int32), _pack([i for x in ids for i in x], np.uint16),
-                _pack([i for x in names for i in x], np.int32), _pack([len(x) for x in names], np.int32)]
-    # Rows of the term matrix: sentences with names of their own pair up; the rest of the document is one row.
-    (ia, na), (ib, nb) = hashed
+        langs.append(language(lang, [s for _, s in found]))
+        hashed = [_hashed(s, memo) for _, s in found]
+        sides.append(([x for x, _ in hashed], [x for _, x in hashed]))
+        flat: list[int] = []
+        for x, _ in hashed:
+            flat += x
+            flat.append(_STOP)
+        out += [_pack([p for p, _ in found], np.int32), _pack([len(x) + 1 for x, _ in hashed], np.int32), _pack(flat, np.uint16),
+                _pack([i for _, x in hashed for i in x], np.int32), _pack([len(x) for _, x in hashed], np.int32)]
+    out = ["-".join(sorted(langs)), *out]
+    rows = _rows(*sides)
+    out += [_pack([t for r in rows for t in r], np.uint16), _pack([len(r) for r in rows], np.int32)]
+    return out
+
+
+def _rows(a: tuple[list, list], b: tuple[list, list]) -> list[list[int]]:
+    """Rows of the term matrix: the two sentences that alone have certain names, and what stands between such pairs on both sides.
+
+    Pairs that cross others bound no stretch. What has nothing opposite is one row with the like on the other side.
+    """
+    (ia, na), (ib, nb) = a, b
     ka, kb = [tuple(x) for x in na], [tuple(x) for x in nb]
     ca, cb = Counter(ka), Counter(kb)
     where = {k: j for j, k in enumerate(kb)}
-    rows, rest, used = [], [], set()
-    for i, k in enumerate(ka):
-        if k and ca[k] == 1 and cb.get(k) == 1:
-            rows.append(ia[i] + ib[where[k]])
-            used.add(where[k])
+    pairs = [(i, where[k]) for i, k in enumerate(ka) if k and ca[k] == 1 and cb.get(k) == 1]
+    rows = [ia[i] + ib[j] for i, j in pairs]
+    used_a, used_b = {i for i, _ in pairs}, {j for _, j in pairs}
+    # The pairs in the order of both sides: those that no neighbour on the source side crosses.
+    bounds = [p for x, p in enumerate(pairs) if (x == 0 or pairs[x - 1][1] < p[1]) and (x == len(pairs) - 1 or p[1] < pairs[x + 1][1])]
+    steady, low = [], -1
+    for i, j in bounds:
+        if j > low:
+            steady.append((i, j))
+            low = j
+    rest_a: list[int] = []
+    rest_b: list[int] = []
+    pi = pj = -1
+    for i, j in [*steady, (len(ia), len(ib))]:
+        ta = [t for x in range(pi + 1, i) if x not in used_a for t in ia[x]]
+        tb = [t for x in range(pj + 1, j) if x not in used_b for t in ib[x]]
+        if ta and tb:
+            rows.append(ta + tb)
         else:
-            rest += ia[i]
-    both = rest and len(used) < len(ib)
-    rest = rest + [t for j, x in enumerate(ib) if j not in used for t in x]
-    if both and rest:
-        rows.append(rest)
-    out += [_pack([t for r in rows for t in r], np.uint16), _pack([len(r) for r in rows], np.int32)]
-    return out
+            rest_a += ta
+            rest_b += tb
+        pi, pj = i, j
+    if rest_a and rest_b:
+        rows.append(rest_a + rest_b)
+    return [r for r in rows if r]
 
 
 def prepared(pairs: DataFrame) -> DataFrame:
@@ -139,14 +168,13 @@ def prepared(pairs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         memo: dict = {}
-        names_memo: dict = {}
         types = [pa.string(), pa.int64(), pa.string(), *[pa.binary()] * 12]
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 b = big.slice(at, 500)
                 out = []
                 for tab, rec, patch, s, t, sl, tl in zip(*(c.to_pylist() for c in b.columns)):
-                    one = prepare_one(s, t, sl, tl, patch, memo, names_memo)
+                    one = prepare_one(s, t, sl, tl, patch, memo)
                     if one:
                         out.append([tab, rec, *one])
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], types[k]) for k in range(15)], names)
@@ -226,9 +254,11 @@ def vectors_of(y: np.ndarray, omega: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (u[:, :DIMENSIONS] * np.sqrt(s[:DIMENSIONS]) * idf[:, None]).astype(np.float32)
 
 
-def learn(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per pair of languages (buckets in order, their vectors), from all rows of all documents."""
-    weights = _weights(_frequencies(docs))
+Model = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _sketched(docs: DataFrame, entries, weights: dict[str, np.ndarray]) -> Model:
+    """Term vectors from one pass; ``entries`` makes (langs, row, term, count) of batches."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers a pair of languages
 
     def sketch(batches):
@@ -236,20 +266,19 @@ def learn(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
         omega = _sketch_matrix()
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for big in batches:
-            for at in range(0, big.num_rows, 200):
-                for langs, row, term, n in _matrix(big.slice(at, 200)):
-                    total, seen = held.setdefault(langs, (np.zeros((BUCKETS, DIMENSIONS + SPARE), np.float32), np.zeros(BUCKETS, bool)))
-                    terms, sums = sketch_batch(row, term, n, shared.value[langs], omega)
-                    total[terms] += sums
-                    seen[terms] = True
+        for langs, row, term, n in entries(batches):
+            total, seen = held.setdefault(langs, (np.zeros((BUCKETS, DIMENSIONS + SPARE), np.float32), np.zeros(BUCKETS, bool)))
+            terms, sums = sketch_batch(row, term, n, shared.value[langs], omega)
+            total[terms] += sums
+            seen[terms] = True
         out = []
         for langs, (total, seen) in held.items():
             for lo in range(0, BUCKETS, _BLOCK):
                 ids = np.flatnonzero(seen[lo:lo + _BLOCK]) + lo
                 if len(ids):
                     out.append((langs, lo, ids.astype(np.int32).tobytes(), total[ids].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["langs", "block", "ids", "sums"])
+        types = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], ["langs", "block", "ids", "sums"])
 
     def add(key, pdf):
         import pandas as pd
@@ -262,7 +291,7 @@ def learn(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         at = np.flatnonzero(seen)
         return pd.DataFrame({"langs": [key[0]], "ids": [(at + key[1]).astype(np.int32).tobytes()], "sums": [total[at].astype(np.float32).tobytes()]})
 
-    parts = docs.select("langs", "rows", "row_size").mapInArrow(sketch, "langs string, block int, ids binary, sums binary")
+    parts = docs.mapInArrow(sketch, "langs string, block int, ids binary, sums binary")
     held: dict[str, list] = {}
     for langs, ids, sums in parts.groupBy("langs", "block").applyInPandas(add, "langs string, ids binary, sums binary").collect():
         held.setdefault(langs, []).append((np.frombuffer(ids, np.int32), np.frombuffer(sums, np.float32)))
@@ -277,6 +306,22 @@ def learn(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return model
 
 
+def _slices(batches, size: int):
+    for big in batches:
+        for at in range(0, big.num_rows, size):
+            yield big.slice(at, size)
+
+
+def learn(docs: DataFrame) -> Model:
+    """Per pair of languages (buckets in order, their vectors), from all rows of all documents."""
+
+    def entries(batches):
+        for b in _slices(batches, 200):
+            yield from _matrix(b)
+
+    return _sketched(docs.select("langs", "rows", "row_size"), entries, _weights(_frequencies(docs)))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
 
@@ -299,128 +344,170 @@ def align_document(va: np.ndarray, vb: np.ndarray, na: list[frozenset], nb: list
     n, m = len(va), len(vb)
     ua, ub = _unit(va), _unit(vb)
     cos = ua @ ub.T
-    size_a, size_b = (np.array([len(x) for x in names], np.float32) for names in (na, nb))
-    common = np.zeros((n, m), np.float32)
     holders: dict[int, list[int]] = {}
     for j, names in enumerate(nb):
         for x in names:
             holders.setdefault(x, []).append(j)
+    common = np.zeros((n, m), np.float32)
     for i, names in enumerate(na):
         for x in names:
             for j in holders.get(x, ()):
                 common[i, j] += 1
-    union = size_a[:, None] + size_b[None, :] - common
-    jaccard = np.where(union > 0, common / np.maximum(union, 1), 1.0)
-    least = np.where(union == 0, t.plain, np.where(jaccard == 1, t.named, np.where(jaccard > 0, t.partly, 2.0)))
-    score = cos + t.name_weight * jaccard
-    rank = _margin(score, t.neighbours) - t.order_weight * np.abs((np.arange(n) / n)[:, None] - (np.arange(m) / m)[None, :])
-    rank = np.where(cos >= least, rank, -9.0)
+    union = np.array([len(x) for x in na], np.float32)[:, None] + np.array([len(x) for x in nb], np.float32)[None, :] - common
+    plain = union == 0
+    jaccard = (common + plain) / (union + plain)
+    least = np.where(plain, t.plain, np.where(jaccard == 1, t.named, np.where(common > 0, t.partly, 2.0)))
+    rank = _margin(cos + t.name_weight * jaccard, t.neighbours)
+    rank -= t.order_weight * np.abs(np.linspace(0, 1, n, endpoint=False)[:, None] - np.linspace(0, 1, m, endpoint=False)[None, :])
+    rank[cos < least] = -9.0
     found: list[tuple[int, int]] = []
     free_a, free_b = np.ones(n, bool), np.ones(m, bool)
+    every = np.arange(n)
     while True:
-        best_b, best_a = rank.argmax(1), rank.argmax(0)
-        rows = np.flatnonzero(free_a & (best_a[best_b] == np.arange(n)))
-        rows = [i for i in rows if rank[i, best_b[i]] > -8]
-        if not rows:
+        best_b = rank.argmax(1)
+        rows = np.flatnonzero((rank.argmax(0)[best_b] == every) & (rank[every, best_b] > -8))
+        if not len(rows):
             break
-        for i in rows:
-            j = best_b[i]
-            found.append((int(i), int(j)))
-            free_a[i] = free_b[j] = False
-            rank[i, :] = rank[:, j] = -9.0
-    if free_a.any():
-        found += [(i, j) for j, i in _windows(vb, va, nb, na, [(j, i) for i, j in found], free_b, free_a, t)]
-    if free_b.any():
-        found += _windows(va, vb, na, nb, found, free_a, free_b, t)
-    return sorted(set(found))
-
-
-def _windows(va: np.ndarray, vb: np.ndarray, na: list, nb: list, found: list[tuple[int, int]], free_a: np.ndarray, free_b: np.ndarray, t: Thresholds) -> list[tuple[int, int]]:
-    """Pairs (i, j) for sentences j of b left over: i says what j and another sentence of b say.
+        cols = best_b[rows]
+        found += zip(rows.tolist(), cols.tolist())
+        free_a[rows] = free_b[cols] = False
+        rank[rows, :] = -9.0
+        rank[:, cols] = -9.0
+    if found and free_a.any():
+        found += [(i, j) for j, i in _joins(ub, va, nb, na, [(j, i) for i, j in found], free_a, t)]
+    if found and free_b.any():
+        found += _joins(ua, vb, na, nb, found, free_b, t)
+    if free_a.any() and free_b.any():
+        found += [(i, j) for j, i in _merges(ub, va, nb, na, free_b, free_a, t)]
+        found += _merges(ua, vb, na, nb, free_a, free_b, t)
+    return found
+
+
+def _joins(ua: np.ndarray, vb: np.ndarray, na: list, nb: list, found: list[tuple[int, int]], free: np.ndarray, t: Thresholds) -> list[tuple[int, int]]:
+    """Pairs (i, j) for sentences j of b left over: i says what j and the sentence paired with i say.
 
     That is so if the merged window of both fits i better than the other alone, and their names are those of i.
     """
-    ua = _unit(va)
-    partners: dict[int, list[int]] = {}
-    for i, j in found:
-        partners.setdefault(i, []).append(j)
+    counts = Counter(i for i, _ in found)
+    single = [(i, j) for i, j in found if counts[i] == 1]
+    left = np.flatnonzero(free)
+    if not single:
+        return []
+    i_of, j_of = (np.array(x) for x in zip(*single))
+    unit, other, new = ua[i_of], vb[j_of], vb[left]
+    with_other = np.einsum("ij,ij->i", unit, other)
+    size = np.einsum("ij,ij->i", other, other)
+    alone = with_other / np.maximum(np.sqrt(size), 1e-9)
+    length = size[:, None] + 2 * (other @ new.T) + np.einsum("ij,ij->i", new, new)[None, :]
+    merged = (with_other[:, None] + unit @ new.T) / np.sqrt(np.maximum(length, 1e-12))
+    gain = merged - alone[:, None]
     out: list[tuple[int, int]] = []
-    for j in np.flatnonzero(free_b):
+    taken: set[int] = set()
+    p, q = np.nonzero((merged >= t.window) & (gain >= t.gain))
+    for x in np.argsort(-gain[p, q], kind="stable"):
+        i, k, j = int(i_of[p[x]]), int(j_of[p[x]]), int(left[q[x]])
+        if i not in taken and free[j] and nb[j] <= na[i] <= nb[j] | nb[k]:
+            out.append((i, j))
+            taken.add(i)
+            free[j] = False
+    return out
+
+
+def _merges(ua: np.ndarray, vb: np.ndarray, na: list, nb: list, free_a: np.ndarray, free_b: np.ndarray, t: Thresholds) -> list[tuple[int, int]]:
+    """Pairs (i, j), (i, k) of sentences left over on both sides, where i says what j and k say together."""
+    out: list[tuple[int, int]] = []
+    left = np.flatnonzero(free_b)
+    if len(left) < 2:
+        return out
+    size = np.sqrt(np.maximum(np.einsum("ij,ij->i", vb[left], vb[left]), 1e-12))
+    dots = vb[left] @ ua.T
+    for i in np.flatnonzero(free_a):
+        near = [x for x in np.flatnonzero(dots[:, i] > 0.25 * size) if free_b[left[x]] and nb[left[x]] <= na[i]]
         best = None
-        for i, js in partners.items():
-            if len(js) != 1 or not (nb[j] <= na[i]) or not (na[i] <= (nb[j] | nb[js[0]])):
-                continue
-            other = vb[js[0]]
-            alone = float(ua[i] @ other) / max(float(np.sqrt(other @ other)), 1e-9)
-            both = other + vb[j]
-            merged = float(ua[i] @ both) / max(float(np.sqrt(both @ both)), 1e-9)
-            if merged >= t.window and merged - alone >= t.gain and (best is None or merged - alone > best[0]):
-                best = (merged - alone, i)
+        for y, x in enumerate(near):
+            for z in near[y + 1:]:
+                j, k = int(left[x]), int(left[z])
+                if na[i] != nb[j] | nb[k]:
+                    continue
+                both = vb[j] + vb[k]
+                merged = (dots[x, i] + dots[z, i]) / max(float(np.sqrt(both @ both)), 1e-9)
+                if merged >= t.window and merged - max(dots[x, i] / size[x], dots[z, i] / size[z]) >= t.gain and (best is None or merged > best[0]):
+                    best = (merged, j, k)
         if best:
-            out.append((best[1], int(j)))
-            partners[best[1]].append(int(j))
-            free_b[j] = False
-    left = [int(j) for j in np.flatnonzero(free_b)]
-    if len(left) > 1:
-        for i in np.flatnonzero(free_a):
-            fits = [j for j in left if free_b[j] and nb[j] <= na[i]]
-            best = None
-            for x, j in enumerate(fits):
-                for k in fits[x + 1:]:
-                    if na[i] != nb[j] | nb[k]:
-                        continue
-                    both = vb[j] + vb[k]
-                    merged = float(ua[i] @ both) / max(float(np.sqrt(both @ both)), 1e-9)
-                    alone = max(float(ua[i] @ vb[h]) / max(float(np.sqrt(vb[h] @ vb[h])), 1e-9) for h in (j, k))
-                    if merged >= t.window and merged - alone >= t.gain and (best is None or merged > best[0]):
-                        best = (merged, j, k)
-            if best:
-                out += [(int(i), best[1]), (int(i), best[2])]
-                free_b[best[1]] = free_b[best[2]] = False
-                free_a[i] = False
+            out += [(int(i), best[1]), (int(i), best[2])]
+            free_b[best[1]] = free_b[best[2]] = False
+            free_a[i] = False
+    return out
+
+
+_SIDES = [c.split()[0] for c in _PREPARED.split(", ")][:13]
+
+
+class _Aligner:
+    """Aligns slices of prepared documents; term vectors of all their sentences are summed at once."""
+
+    def __init__(self, model: Model):
+        width = max((v.shape[1] for _, v in model.values()), default=1)
+        self.places, stacked, n = {}, [np.zeros((1, width), np.float32)], 1
+        for langs, (ids, vectors) in model.items():
+            at = np.zeros(1 << 16, np.int32)  # 0 is no vector: unknown buckets and _STOP
+            at[ids] = np.arange(n, n + len(ids), dtype=np.int32)
+            self.places[langs] = at
+            stacked.append(np.pad(vectors, ((0, 0), (0, width - vectors.shape[1]))))
+            n += len(ids)
+        self.vectors = np.concatenate(stacked)
+
+    def __call__(self, rows: list[tuple], t: Thresholds):
+        """Yields (row, pairs) for each document that has vectors."""
+        rows = [r for r in rows if r[2] in self.places]
+        if not rows:
+            return
+        where, sizes = [], []
+        for r in rows:
+            at = self.places[r[2]]
+            where += [at[np.frombuffer(r[5], np.uint16)], at[np.frombuffer(r[10], np.uint16)]]
+            sizes += [np.frombuffer(r[4], np.int32), np.frombuffer(r[9], np.int32)]
+        ends = np.cumsum(np.concatenate(sizes))
+        sums = np.add.reduceat(self.vectors[np.concatenate(where)], np.r_[0, ends[:-1]], axis=0)
+        lo = 0
+        for k, r in enumerate(rows):
+            n, m = len(sizes[2 * k]), len(sizes[2 * k + 1])
+            yield r, align_document(sums[lo:lo + n], sums[lo + n:lo + n + m], _names(r[6], r[7]), _names(r[11], r[12]), t)
+            lo += n + m
+
+
+def _names(flat: bytes, counts: bytes) -> list[frozenset]:
+    names, out, lo = np.frombuffer(flat, np.int32).tolist(), [], 0
+    for c in np.frombuffer(counts, np.int32).tolist():
+        out.append(frozenset(names[lo:lo + c]))
+        lo += c
     return out
 
 
-def aligned(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], t: Thresholds = Thresholds()) -> DataFrame:
+def aligned(docs: DataFrame, model: Model, t: Thresholds = Thresholds()) -> DataFrame:
     """``tab, rec_id, src_start, tgt_start`` of each pair of sentences of prepared documents."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS by DIMENSIONS numbers a pair of languages
 
     def align(batches):
         import pyarrow as pa
 
-        tables = {}
-        for langs, (ids, vectors) in shared.value.items():
-            at = np.full(BUCKETS, len(ids), np.int32)
-            at[ids] = np.arange(len(ids), dtype=np.int32)
-            tables[langs] = at, np.concatenate([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
-
-        def side(row, k):
-            at, size, terms, names, n = (np.frombuffer(row[k + x], kind) for x, kind in enumerate((np.int32, np.int32, np.uint16, np.int32, np.int32)))
-            ends = np.cumsum(n)
-            return at, size, terms, [frozenset(names[e - c:e].tolist()) for e, c in zip(ends, n)]
-
-        def sums(table, sizes, terms):
-            at, vectors = table
-            # A bucket of zeros after each sentence's terms, so that none is empty.
-            where = np.insert(at[terms], np.cumsum(sizes), len(vectors) - 1)
-            return np.add.reduceat(vectors[where], np.r_[0, np.cumsum(sizes + 1)[:-1]], axis=0)
-
-        for big in batches:
-            for lo in range(0, big.num_rows, 200):
-                out = []
-                for row in zip(*(c.to_pylist() for c in big.slice(lo, 200).columns)):
-                    table = tables.get(row[2])
-                    if table is None:
-                        continue
-                    at_a, size_a, terms_a, na = side(row, 3)
-                    at_b, size_b, terms_b, nb = side(row, 8)
-                    pairs = align_document(sums(table, size_a, terms_a), sums(table, size_b, terms_b), na, nb, t)
-                    out += [(row[0], row[1], int(at_a[i]), int(at_b[j])) for i, j in pairs]
-                types = (pa.string(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], x) for j, x in enumerate(types)], ["tab", "rec_id", "src_start", "tgt_start"])
-
-    names = [c.split()[0] for c in _PREPARED.split(", ")][:13]
-    return docs.select(*names).mapInArrow(align, "tab string, rec_id bigint, src_start int, tgt_start int")
+        aligner = _Aligner(shared.value)
+        types = (pa.string(), pa.int64(), pa.int32(), pa.int32())
+        for b in _slices(batches, 100):
+            tabs, recs, src, tgt = [], [], [], []
+            for r, pairs in aligner(list(zip(*(c.to_pylist() for c in b.columns))), t):
+                if pairs:
+                    at_a, at_b = np.frombuffer(r[3], np.int32), np.frombuffer(r[8], np.int32)
+                    i, j = zip(*pairs)
+                    src.append(at_a[list(i)])
+                    tgt.append(at_b[list(j)])
+                    tabs += [r[0]] * len(pairs)
+                    recs += [r[1]] * len(pairs)
+            if tabs:
+                cols = (tabs, recs, np.concatenate(src), np.concatenate(tgt))
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], ["tab", "rec_id", "src_start", "tgt_start"])
+
+    return docs.select(*_SIDES).mapInArrow(align, "tab string, rec_id bigint, src_start int, tgt_start int")
 
 
 def align_sentences(pairs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:

@@ -101,23 +101,23 @@ _NOISE = re.compile(
 _SEPARATORS = str.maketrans("", "", ".,")
 
 
-def terms(sentence: str) -> tuple[list[str], list[str]]:
-    """(words, names): lower-case words and pairs of ideographs; code names and numbers, which languages share.
+def tokens(sentence: str) -> list[str]:
+    """Code names, numbers, words and runs of ideographs of a sentence, without inline markup."""
+    if "<" in sentence or "\\" in sentence or "$" in sentence or "[" in sentence or "{" in sentence or "&" in sentence or "''" in sentence:
+        sentence = _NOISE.sub("", sentence)
+    return _TERM.findall(sentence)
+
+
+def terms_of(token: str) -> tuple[bool, list[str]]:
+    """(is a name, terms): code names and numbers are names, which languages share; words are lower-cased, ideographs paired.
 
     Numbers lose their separators, which languages write differently.
     """
-    if "<" in sentence or "\\" in sentence or "$" in sentence or "[" in sentence or "{" in sentence or "&" in sentence or "''" in sentence:
-        sentence = _NOISE.sub("", sentence)
-    words: list[str] = []
-    names: list[str] = []
-    for t in _TERM.findall(sentence):
-        c = t[0]
-        if c == "`":
-            names.append(t)
-        elif c.isdigit():
-            names.append(t.translate(_SEPARATORS))
-        elif "一" <= c <= "鿿":
-            words.extend(t[i:i + 2] for i in range(len(t) - 1)) if len(t) > 1 else words.append(t)
-        elif len(t) > 1 or not c.isascii():
-            words.append(t.lower())
-    return words, names
+    c = token[0]
+    if c == "`":
+        return True, [token]
+    if c.isdigit():
+        return True, [token.translate(_SEPARATORS)]
+    if "一" <= c <= "鿿":
+        return False, [token[i:i + 2] for i in range(len(token) - 1)] or [token]
+    return False, [token.lower()] if len(token) > 1 or not c.isascii() else []
