@@ -25,7 +25,7 @@ from driftmark.llm import sentences
 from driftmark.runtime import checkpointed, ship
 
 #: Terms are hashed into so many buckets per pair of languages; dimensions of the vectors, and of the sketch beyond them.
-BUCKETS, DIMENSIONS, SPARE, SEED = 1 << 15, 64, 24, 7
+BUCKETS, DIMENSIONS, SPARE, SEED = 1 << 15, 56, 16, 7
 _BLOCK = 512
 #: Ends a sentence's terms in the packed arrays; stands for no term.
 _STOP = (1 << 16) - 1
@@ -63,7 +63,7 @@ def language(lang: str | None, found: list[str]) -> str:
     if lang and lang.strip():
         return re.split(r"[-_]", lang.strip().lower())[0]
     votes: Counter[str] = Counter()
-    for w in (w for s in found for w in sentences.tokens(s)):
+    for w in sentences.tokens(found):
         if "一" <= w[0] <= "鿿":
             votes["zh"] += 2
         for x in _OF_WORD.get(w.lower(), ()):
@@ -71,22 +71,27 @@ def language(lang: str | None, found: list[str]) -> str:
     return min(votes, key=lambda k: (-votes[k], k)) if votes else ""
 
 
-def _hashed(sentence: str, memo: dict) -> tuple[list[int], list[int]]:
-    """(terms, names) of a sentence as hashes. memo: of tokens, begun anew when full."""
+def _hashed(found: list[str], memo: dict) -> list[tuple[list[int], list[int]]]:
+    """(terms, names) of each sentence as hashes. memo: of tokens, begun anew when full."""
+    out = []
     words: list[int] = []
-    names: set[int] = set()
-    for token in sentences.tokens(sentence):
+    names: list[int] = []
+    for token in sentences.tokens(found):
         held = memo.get(token)
         if held is None:
+            if token == sentences.BETWEEN:
+                out.append((words, sorted(set(names)) if names else names))
+                words, names = [], []
+                continue
             if len(memo) > 300_000:
                 memo.clear()
             name, terms = sentences.terms_of(token)
             held = memo[token] = name, [zlib.crc32(x.encode()) % ((1 << 31) if name else BUCKETS) for x in terms]
         if held[0]:
-            names.add(held[1][0])
+            names += held[1]
         else:
             words += held[1]
-    return words, sorted(names)
+    return out
 
 
 def _pack(values, kind) -> bytes:
@@ -109,7 +114,7 @@ def prepare_one(source: str, target: str, source_lang: str | None, target_lang:
         if not found:
             return None
         langs.append(language(lang, [s for _, s in found]))
-        hashed = [_hashed(s, memo) for _, s in found]
+        hashed = _hashed([s for _, s in found], memo)
         sides.append(([x for x, _ in hashed], [x for _, x in hashed]))
         flat: list[int] = []
         for x, _ in hashed:
@@ -479,11 +484,14 @@ class _Aligner:
 def _names(flat: bytes, counts: bytes) -> list[frozenset]:
     names, out, lo = np.frombuffer(flat, np.int32).tolist(), [], 0
     for c in np.frombuffer(counts, np.int32).tolist():
-        out.append(frozenset(names[lo:lo + c]))
+        out.append(frozenset(names[lo:lo + c]) if c else _NO_NAMES)
         lo += c
     return out
 
 
+_NO_NAMES: frozenset = frozenset()
+
+
 def aligned(docs: DataFrame, model: Model, t: Thresholds = Thresholds()) -> DataFrame:
     """``tab, rec_id, src_start, tgt_start`` of each pair of sentences of prepared documents."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS by DIMENSIONS numbers a pair of languages

@@ -63,10 +63,11 @@ def of_markdown(text: str) -> list[tuple[int, str]]:
             if m and m[1].startswith(fence) and not line[m.end():].strip():
                 fence = ""
         elif line:
-            m = _FENCE.match(line)
+            first = line.lstrip(" \t")[:1]
+            m = _FENCE.match(line) if first in "`~" else None
             if m:
                 fence = m[1]
-            elif not _NONE.match(line):
+            elif first and not (first in "#|<=!" and _NONE.match(line)):
                 of_line(line, offset, out)
         offset += size
     return out
@@ -81,19 +82,20 @@ def of_patch(patch: str) -> list[tuple[int, str]]:
             fence = ""
         elif line.startswith("+") and not line.startswith("+++ "):
             body = line[1:-1] if line.endswith("\r") else line[1:]
-            m = _FENCE.match(body)
+            first = body.lstrip(" \t")[:1]
+            m = _FENCE.match(body) if first in "`~" else None
             if fence:
                 if m and m[1].startswith(fence) and not body[m.end():].strip():
                     fence = ""
             elif m:
                 fence = m[1]
-            elif body and not _NONE.match(body):
+            elif first and not (first in "#|<=!" and _NONE.match(body)):
                 of_line(body, offset + 1, out)
         offset += len(line) + 1
     return out
 
 
-_TERM = re.compile(r"`[^`\n]+`|\d[\d.,]*\d|\d|[^\W\d_一-鿿]+|[一-鿿]+")
+_TERM = re.compile(r"\x00|`[^`\n]+`|\d[\d.,]*\d|\d|[^\W\d_一-鿿]+|[一-鿿]+")
 #: Inline markup, which says nothing of the words: tags, formulas, templates, targets of links, references, entities.
 _NOISE = re.compile(
     r"<!--.*?-->|</?[A-Za-z][^<>]*>|<img\s[^>。]*?(?:>|=(?=[.。!?！？])|$)|\$[^$\n]+\$|\\\([^\n]*?\\\)|\{\{[^{}]*\}\}|\[\[(?:File|Image|Category):[^\]]*\]\]|\[\^[^\]]*\]"
@@ -101,11 +103,16 @@ _NOISE = re.compile(
 _SEPARATORS = str.maketrans("", "", ".,")
 
 
-def tokens(sentence: str) -> list[str]:
-    """Code names, numbers, words and runs of ideographs of a sentence, without inline markup."""
-    if "<" in sentence or "\\" in sentence or "$" in sentence or "[" in sentence or "{" in sentence or "&" in sentence or "''" in sentence:
-        sentence = _NOISE.sub("", sentence)
-    return _TERM.findall(sentence)
+_MARKED = re.compile(r"[<\\$\[{&]|''")
+#: Stands between sentences in one string of them all.
+BETWEEN = "\x00"
+
+
+def tokens(found: list[str]) -> list[str]:
+    """Code names, numbers, words and runs of ideographs of sentences, without inline markup; BETWEEN ends each sentence."""
+    if any(_MARKED.search(s) for s in found):
+        found = [_NOISE.sub("", s) if _MARKED.search(s) else s for s in found]
+    return _TERM.findall(BETWEEN.join(s.replace(BETWEEN, " ") for s in found) + BETWEEN)
 
 
 def terms_of(token: str) -> tuple[bool, list[str]]:
