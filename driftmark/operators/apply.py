@@ -54,7 +54,7 @@ def list_lines(lines: DataFrame) -> DataFrame:
 def mark_document(content: F.Column, name: str, value: F.Column) -> F.Column:
     """The text with a comment ``name: value`` at its first level-1 heading, replacing one that is there; else as the first line."""
     note = F.concat(F.lit(f"<!-- {name}: "), value, F.lit(" -->"))
-    bare = F.regexp_replace(content, rf" ?<!-- {name}: [^>]* -->\n?", "")
+    bare = F.regexp_replace(content, rf"(?m)^<!-- {name}: [^>]* -->\n| ?<!-- {name}: [^>]* -->", "")
     first = F.regexp_instr(bare, F.lit(r"(?m)^# [^\n]*"))
     head = F.regexp_extract(bare, r"(?m)^(# [^\n]*)", 1)
     with_head = F.concat(F.substring(bare, F.lit(1), first - 1), head, F.lit(" "), note, F.substring(bare, first + F.length(head), F.length(bare)))

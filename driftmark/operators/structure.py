@@ -85,7 +85,8 @@ def first_heading_difference(heads: DataFrame, keys: list[str], side: str, left:
     both = heads.groupBy(*keys, "pos").agg(
         F.max(F.when(F.col(side) == left, F.col("level"))).alias("left_level"), F.max(F.when(F.col(side) == right, F.col("level"))).alias("right_level"))
     differ = both.where(~F.col("left_level").eqNullSafe(F.col("right_level")))
-    return differ.groupBy(*keys).agg(F.min(F.struct("pos", "left_level", "right_level")).alias("d")).select(*keys, "d.pos", "d.left_level", "d.right_level")
+    return differ.groupBy(*keys).agg(F.min(F.struct("pos", "left_level", "right_level")).alias("__first")).select(
+        *keys, "__first.pos", "__first.left_level", "__first.right_level")
 
 
 def hierarchy(heads: DataFrame, keys: list[str], levels: int = 10) -> DataFrame:
