@@ -80,21 +80,44 @@ def overlap_start(text: str, cut: int, floor: int, overlap: int) -> int:
     return line + 1 if line >= 0 else low
 
 
-def _snap(places: list[int], strength: dict[int, int], target: float, reach: float) -> tuple[int, int] | None:
-    """The strongest boundary within reach of the target; of equally strong ones the nearest, then the first."""
-    i, j = bisect.bisect_left(places, target - reach), bisect.bisect_right(places, target + reach)
-    if i == j:
+def _snap(places: list[int], strength: dict[int, int], target: float, low: float, high: float) -> tuple[int, int] | None:
+    """The strongest boundary from low to high; of equally strong ones that nearest the target, then the first."""
+    i, j = bisect.bisect_left(places, low), bisect.bisect_right(places, high)
+    if i >= j:
         return None
     best = min(places[i:j], key=lambda p: (-strength[p], abs(p - target), p))
     return best, strength[best]
 
 
+def _place(text: str, n: int, places: list[int], strength: dict[int, int], limits: Limits) -> list[tuple[int, int, int, int]] | None:
+    """Spans of ``n`` pieces, or None if one breaks a limit."""
+    length = len(text)
+    step = length / n
+    spans, start, cut = [], 0, 0
+    for k in range(1, n + 1):
+        if k == n:
+            end, kind = length, SECTION
+        else:
+            # Near the target, within this piece's limit, and leaving no more than the pieces to come can hold.
+            low = max(k * step - 0.45 * step, cut + 1, length - (n - k) * (limits.max_chars - limits.overlap))
+            high = min(k * step + 0.45 * step, start + limits.max_chars)
+            end, kind = _snap(places, strength, k * step, low, high) or (round(min(max(k * step, low), high)), ANY)
+            while kind == ANY and cut + 1 < end and "\u0300" <= text[end] <= "\u036f":
+                end -= 1
+        if not cut < end <= start + limits.max_chars:
+            return None
+        spans.append((start, cut, end, kind))
+        start, cut = overlap_start(text, end, cut, limits.overlap), end
+    return spans
+
+
 def split_spans(text: str, limits: Limits = Limits()) -> list[tuple[int, int, int, int]]:
     """(start, cut, end, strength) of each piece, which is text[start:end] and new from ``cut`` on.
 
     ``strength`` tells the kind of boundary at the piece's end. A text within the limit is one piece;
     an empty one has none. Without any boundary in reach the cut falls on the target itself, moved off
-    combining marks.
+    combining marks. Where the least number of pieces has to cut within lines and one piece more doesn't, or
+    less badly, it is one more.
     """
     length = len(text)
     if length == 0:
@@ -104,22 +127,14 @@ def split_spans(text: str, limits: Limits = Limits()) -> list[tuple[int, int, in
     strength = boundaries(text)
     places = sorted(strength)
     n = -(-(length - limits.overlap) // (limits.max_chars - limits.overlap))
-    while True:
-        step = length / n
-        reach = min(step / 4, max((limits.max_chars - limits.overlap - step), step / 8))
-        spans, start, cut = [], 0, 0
-        for k in range(1, n + 1):
-            if k == n:
-                end, kind = length, SECTION
-            else:
-                end, kind = _snap(places, strength, k * step, reach) or (round(k * step), ANY)
-                while kind == ANY and cut + 1 < end and "̀" <= text[end] <= "ͯ":
-                    end -= 1
-            spans.append((start, cut, end, kind))
-            start, cut = overlap_start(text, end, cut, limits.overlap), end
-        if all(e - s <= limits.max_chars and c < e for s, c, e, _ in spans):
-            return spans
+    while (spans := _place(text, n, places, strength, limits)) is None:
         n += 1
+    weakest = min(s[3] for s in spans[:-1])
+    if weakest < LINE:
+        more = _place(text, n + 1, places, strength, limits)
+        if more and min(s[3] for s in more[:-1]) > weakest:
+            return more
+    return spans
 
 
 def _long(df: DataFrame, id_col: str, text_col: str, extra: str, limits: Limits) -> DataFrame:
