@@ -256,7 +256,9 @@ def vectors_of(y: np.ndarray, omega: np.ndarray, idf: np.ndarray) -> np.ndarray:
     if not good.any():
         return np.zeros((len(y), 1), np.float32)
     u, s, _ = np.linalg.svd(y @ (basis[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return (u[:, :DIMENSIONS] * np.sqrt(s[:DIMENSIONS]) * idf[:, None]).astype(np.float32)
+    # Two languages share at most half as many directions as they have terms; the rest tells them apart.
+    k = max(1, min(DIMENSIONS, len(y) // 2))
+    return (u[:, :k] * np.sqrt(s[:k]) * idf[:, None]).astype(np.float32)
 
 
 Model = dict[str, tuple[np.ndarray, np.ndarray]]

@@ -67,7 +67,7 @@ _WIKI = re.compile(
     r"|</?(?:" + "|".join(_WIKI_TAGS) + r")\b[^<>\n]*>", re.M)
 _MD_HEADING = re.compile(r"^ {0,3}\#{1,6}[ \t]+\S", re.M)
 _MD = re.compile(
-    r"^[ \t]{0,3}(?:>[ \t]?)+(?=\S)|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*\r?$|^\|[ \t]*:?-+:?[ \t]*\|[ \t]*\r?$"
+    r"^[ \t]{0,3}(?:>[ \t]?)+(?=\S)|^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?$|^\|[ \t]*:?-+:?[ \t]*\|[ \t]*\r?$"
     r"|!?\[[^\[\]\n]*\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)|(?<!\w)!?\[[^\[\]\n]+\]\[[^\[\]\n]*\]|(?<=[^\s\[\]\d])\[[^\[\]\n]{2,}\]\[[^\[\]\n]*\]|\[\^[^\]\s]+\]|^[ \t]{0,3}\[[^\]\n]+\]:[ \t]*\S+"
     r"|\*\*\*?(?=[^\s*])[^\n*]*[^\s*]\*\*\*?|(?<![A-Za-z0-9_])__(?=[^\s_])[^\n]*?[^\s_]__(?![A-Za-z0-9_])|~~(?=[^\s~])[^\n~]*[^\s~]~~"
     r"|(?<![A-Za-z0-9*\\])\*(?=[^\s*])[^\n*]*[^\s*\\]\*(?![A-Za-z0-9*])|(?<![\w\\])_(?=[^\s_])[^\n_]*[^\s_\\]_(?!\w)"
@@ -308,7 +308,7 @@ def _clean_markdown(t: str) -> str:
     t = re.sub(r"\[([^\[\]\n\d][^\[\]\n]*)\]\[[^\[\]\n]*\]", r"\1", t)
     t = re.sub(r"^[ \t]{0,3}\[\^?[^\]\n]+\]:[^\n]*$", "", t, flags=re.M)
     t = re.sub(r"\[\^[^\]\s]+\]", "", t)
-    t = re.sub(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|[ \t]*$\n?", "", t, flags=re.M)
+    t = re.sub(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|[ \t]*$\n?", "", t, flags=re.M)
     t = re.sub(r"^[ \t]{0,3}(?:>[ \t]?)+", "", t, flags=re.M)
     t = re.sub(r"(\*{2,3})(?=[^\s*])([^\n*]*[^\s*])\1", r"\2", t)
     t = re.sub(r"(?<![A-Za-z0-9_])__(?=[^\s_])([^\n]*?[^\s_])__(?![A-Za-z0-9_])", r"\1", t)

@@ -98,10 +98,10 @@ def _is_loop(n: Node) -> bool:
 
 def align(a: Wrapper, b: Wrapper) -> Wrapper:
     """The wrapper of what ``a`` and ``b`` accept: a longest common subsequence stays, the rest turns optional."""
-    if not a or a == b:
-        return b if not a else a
-    if not b:
-        return tuple(_optional(list(a)))
+    if a == b:
+        return a
+    if not a or not b:
+        return generalise(_optional(list(a or b)))
     ka, kb = [_base(x) for x in a], [_base(x) for x in b]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
