@@ -24,6 +24,8 @@ _FENCED = r"(?ms)^[ \t]*(`{3,}|~{3,})[^\n]*\n.*?^[ \t]*\1[`~]*[ \t]*$"
 #: End of a sentence: an end mark that isn't that of an abbreviation, a number or a name, then a blank or the next ideograph.
 _BREAK = r"(?<![ (][\p{L}]\.)(?<=[.!?][\"')»]{0,2})[ \t]+(?=[^\p{Ll}\s])|(?<=[。！？])(?=[^”’」』）。！？])"
 _END = r"[.!?。！？][\"')»”’」』）]*$"
+#: A point that may be an abbreviation's.
+_SHORT = r"(?:(?<![\p{L}\p{M}])\p{L}{1,4}|\p{L}\.\p{L})\.$"
 _TOKEN = (
     r"«[a-z]»|\p{IsHan}|[\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}][\p{L}\p{M}'’]*(?:[-_.][\p{L}\p{N}]+)*|\p{N}+|[`|\[<&]|-{2,}"
 )
@@ -40,13 +42,16 @@ _MASKS = (
 class Rules:
     """most_terminal: the share of an ending's occurrences that may be terminal if it is a cut.
 
-    least: occurrences from which an ending tells anything. least_marked: occurrences inside units, none
-    terminal, that outweigh an end mark (an abbreviation that a text stops after).
+    least: occurrences from which an ending tells anything, for whole units, three, two words and one word; the
+    fewer words, the less they tell. least_marked: occurrences inside units, none terminal, that outweigh an
+    end mark (an abbreviation that a text stops after). A last word that no unit holds is a broken one,
+    and so is one that never follows the word before it, if that one occurs least_before times.
     """
 
     most_terminal: float = 0.05
-    least: int = 2
+    least: tuple[int, int, int, int] = (4, 12, 16, 40)
     least_marked: int = 20
+    least_before: int = 400
 
 
 def _quoted(pattern: str) -> str:
@@ -86,10 +91,12 @@ def _shapes(df: DataFrame, text: str, prefix: str) -> DataFrame:
     return out.withColumn(f"{prefix}words", F.expr(f"transform({prefix}units, u -> {_words_sql('u')})"))
 
 
-#: Kinds of endings, the most telling first: the unit from its start, its last three, two and one words.
+#: Kinds of endings, the most telling first: the unit from its start, its last three, two and one words in units of its kind;
+#: last the word in any unit, which tells only whether it is one.
 _ENDS = (
-    (0, "xxhash64(slice(w, 1, i))"), (1, "xxhash64(1, w[i-3], w[i-2], w[i-1])"),
-    (2, "xxhash64(2, w[i-2], w[i-1])"), (3, "xxhash64(3, w[i-1])"),
+    (0, "xxhash64(slice(w, 1, i))"), (1, "xxhash64(1, w[0], w[i-3], w[i-2], w[i-1])"),
+    (2, "xxhash64(2, w[0], w[i-2], w[i-1])"), (3, "xxhash64(3, w[0], w[i-1])"),
+    (4, "xxhash64(4, w[i-1])"),
 )
 
 
@@ -133,17 +140,20 @@ def truncated(df: DataFrame, *, id_col: str = "apply_id", text_col: str = "targe
     ))
     counts = ending_counts(shaped.select("lang", "words").unionByName(shaped.select(F.col("src_lang").alias("lang"), F.col("s_words").alias("words"))))
     finals = shaped.where("last IS NOT NULL").withColumn("w", F.expr("try_element_at(words, -1)"))
-    each = ", ".join(f"named_struct('level', {k}, 'ending', {sql.replace('w[i', 'w[size(w)').replace('1, i)', '1, size(w))')})" for k, sql in _ENDS)
+    each = ", ".join(f"named_struct('level', {k}, 'ending', {sql.replace('w[i', 'w[size(w)').replace('1, i)', '1, size(w))')})" for k, sql in (*_ENDS, (5, "xxhash64(3, w[0], w[i-2])")))
     keys = finals.where("size(w) >= 3").select("id", "lang", F.explode(F.expr(f"array({each})")).alias("g")).select("id", "lang", "g.level", "g.ending")
-    looked = keys.join(counts, ["lang", "ending"]).where(F.col("inside") + F.col("terminal") >= rules.least)
-    best = looked.groupBy("id").agg(F.min(F.struct("level", "inside", "terminal")).alias("b"))
+    enough = F.expr("inside + terminal >= element_at(array({}, 2147483647, 2147483647), level + 1)".format(", ".join(map(str, rules.least))))
+    best = keys.join(counts, ["lang", "ending"]).groupBy("id").agg(
+        F.min(F.when(enough, F.struct("level", "inside", "terminal"))).alias("b"), F.bool_or(F.col("level") == 4).alias("seen"),
+        F.max(F.when(F.col("level") == 5, F.col("inside"))).alias("before_inside"), F.bool_or(F.col("level") == 2).alias("follows"))
     judged = finals.join(best, "id", "left")
     marked = F.col("last.text").rlike(_END)
     # A point after a digit may be one inside a number or version.
     sure = marked & ~F.col("last.text").rlike(r"\p{N}\.$")
     known = F.col("b").isNotNull()
     share = F.col("b.terminal") / (F.col("b.inside") + F.col("b.terminal"))
-    rare = known & (F.col("b.inside") >= rules.least) & (share <= rules.most_terminal) | ~known
+    apart = (F.coalesce("before_inside", F.lit(0)) >= rules.least_before) & ~F.coalesce("follows", F.lit(False))
+    rare = known & (share <= rules.most_terminal) | ~known & (~F.coalesce("seen", F.lit(False)) | apart)
     source_marked = F.coalesce(F.col("s_last.text").rlike(_END), F.lit(False))
     same_kind = F.coalesce(F.col("s_last.kind") == F.col("last.kind"), F.lit(False))
     cells = F.length(F.regexp_replace("last.text", r"[^|]", ""))
@@ -152,7 +162,7 @@ def truncated(df: DataFrame, *, id_col: str = "apply_id", text_col: str = "targe
         F.when(F.col("open_block"), "open_block")
         .when(F.col("last.kind") == "f", F.lit(None))
         .when(F.col("last.kind") == "t", F.when(~F.col("last.text").rlike(r"\|$") | ((F.col("before.kind") == "t") & (cells < cells_before)), "open_row"))
-        .when(sure, F.when(known & (F.col("b.inside") >= rules.least_marked) & (F.col("b.terminal") == 0), "ending"))
+        .when(sure, F.when(F.col("last.text").rlike(_SHORT) & known & (F.col("b.inside") >= rules.least_marked) & (F.col("b.terminal") == 0), "ending"))
         .when(~marked & source_marked & same_kind, "end_mark")
         .when(~marked & (F.col("last.kind") == "p") & F.col("s_last").isNotNull() & ~same_kind, "end_mark")
         .when(rare, "ending")
