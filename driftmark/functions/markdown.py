@@ -83,3 +83,70 @@ def name_status(line: Column) -> Column:
     code = F.substring(F.element_at(parts, 1), 1, 1)
     status = F.when(code == "A", "added").when(code == "D", "removed").when(code == "R", "renamed").otherwise("modified")
     return F.struct(status.alias("status"), F.element_at(parts, -1).alias("filename"), F.when(code == "R", F.get(parts, 1)).alias("previous_filename"))
+
+
+SVG = r"(?s)<svg\b.*?</svg>"
+
+
+def strip_blocks(text: Column, pattern: str = SVG, name: str = "SVG") -> Column:
+    """struct(text, blocks): each distinct match replaced by a numbered placeholder, and the matches in the order of their numbers."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    numbered = F.transform(found, lambda x, i: F.struct(x.alias("b"), F.concat(F.lit(f"{{{{{name}_"), (i + 1).cast("string"), F.lit("}}")).alias("p")))
+    return F.struct(F.aggregate(numbered, text, lambda t, x: F.replace(t, x["b"], x["p"])).alias("text"), found.alias("blocks"))
+
+
+def restore_blocks(text: Column, blocks: Column, name: str = "SVG") -> Column:
+    """The inverse of ``strip_blocks``; later numbers first, so that 1 isn't taken for the beginning of 10."""
+    numbered = F.reverse(F.transform(blocks, lambda x, i: F.struct(x.alias("b"), F.concat(F.lit(f"{{{{{name}_"), (i + 1).cast("string"), F.lit("}}")).alias("p"))))
+    return F.aggregate(numbered, text, lambda t, x: F.replace(t, x["p"], x["b"]))
+
+
+def localized_links(text: Column, host: str, locale: str) -> Column:
+    """Absolute links to a host with the locale as first step of their path; links that have one keep theirs."""
+    return F.regexp_replace(text, rf"(https?://\Q{host}\E)(?!/(?:zh|ja|en|de|es)(?:/|\b))(?=/|\b)", f"$1/{locale}")
+
+
+def absolute_links(text: Column, root: str) -> Column:
+    """Relative links to Markdown files as absolute ones below a root, by base name without extension; anchors stay."""
+    return F.regexp_replace(text, r"\]\((?!https?://)(?:[^()\s#]*/)?([^()\s#/]+)\.md(#[^()\s]*)?\)", f"]({root.rstrip('/')}/$1$2)")
+
+
+def localized_aliases(line: Column, prefix: str) -> Column:
+    """An ``aliases:`` line with the prefix before each path of its list; other lines, and paths that have it, stay."""
+    items = F.transform(F.regexp_extract_all(line, F.lit(r"[\"']?(/[^\"',\]\s]*)[\"']?"), F.lit(1)), lambda x: F.when(x.startswith(prefix + "/"), x).otherwise(F.concat(F.lit(prefix), x)))
+    return F.when(line.rlike(r"^aliases:\s*\[.*\]\s*$"), F.concat(F.lit("aliases: ['"), F.array_join(items, "','"), F.lit("']"))).otherwise(line)
+
+
+def json_object(reply: Column) -> Column:
+    """The first to the last brace of a reply as a map of strings; null where that isn't an object."""
+    return F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), "map<string,string>")
+
+
+def fenced_list(reply: Column) -> Column:
+    """The non-blank lines of a reply's fenced block, or of the reply if it has none, without list marks."""
+    inner = F.regexp_extract(reply, r"(?s)```[^\n]*\n(.*?)```", 1)
+    body = F.when(inner != "", inner).otherwise(reply)
+    lines = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(F.trim(x), r"^(?:[-*+]|\d+[.)])\s+", ""))
+    return F.filter(lines, lambda x: x != "")
+
+
+def keep_indentation(text: Column, model: Column) -> Column:
+    """The lines of a text with the indentation of the lines at the same places of a model."""
+    pairs = F.zip_with(F.split(text, "\n", -1), F.split(model, "\n", -1), lambda a, b: F.when(a.isNull(), None).when(b.isNull(), a).otherwise(
+        F.concat(F.regexp_extract(b, r"^([ \t]*)", 1), F.regexp_replace(a, r"^[ \t]+", ""))))
+    return F.array_join(pairs, "\n")
+
+
+def blank_before_headings(text: Column) -> Column:
+    """The text with a blank line before every heading that has none."""
+    return F.regexp_replace(text, r"(?m)(?<=[^\n]\n)(?=#{1,6} \S)", "\n")
+
+
+def section_key(title: Column) -> Column:
+    """A heading's key without versions and spans, for matching across releases."""
+    return F.lower(F.regexp_replace(clean_title(title), r"\bv?\d+(?:\.\d+)+\b", "*"))
+
+
+def is_identifier_title(title: Column) -> Column:
+    """Whether a cleaned title is a single word of letters, digits and joining marks with at least one of them, as settings are named."""
+    return title.rlike(r"^[A-Za-z][A-Za-z0-9]*(?:[-_.][A-Za-z0-9]+)+$")
