@@ -10,27 +10,26 @@ _NONE = re.compile(r"[ \t]*(?:#{1,10}(?:[ \t]|$)|\||</?[A-Za-z][^<>]*>[ \t]*$|<!
 #: An end mark with what may close after it; after a Latin one a blank or the line's end must follow.
 _END = re.compile(r"[.!?]+[\"')»”’\]*_`]*(?=[ \t]|$)|[。！？]+[”’」』）]*")
 # Abbreviations that don't end a sentence in the languages of the texts.
-_ABBREVIATIONS = frozenset(
-    "e.g i.e etc vs cf approx resp no nr fig sec ch vol ed dr mr mrs ms st jr sr prof inc ltd co z.b d.h u.a bzw usw ca ggf evtl vgl s.o s.u p.ej ej "
-    "pág núm sr sra dra ud uds aprox a.m p.m".split())
 _ALWAYS = frozenset("e.g i.e z.b d.h u.a p.ej ej vs cf bzw ca ggf evtl vgl approx resp fig nr núm aprox".split())
 _WORD_BEFORE = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*$")
 
 
 def _ends(line: str, m: re.Match) -> bool:
-    if line[m.start()] != "." or m.end() - m.start() > 1 and line[m.start() + 1] == ".":
+    start, at = m.start(), m.end()
+    if line[start] != "." or at - start > 1 and line[start + 1] == ".":
         return True
-    at = m.end()
-    rest = line[at:at + 12].lstrip()
-    before = _WORD_BEFORE.search(line, max(0, m.start() - 12), m.start())
-    word = before[0].lower() if before else ""
-    if not rest:
+    while at < len(line) and line[at] in " \t":
+        at += 1
+    if at == len(line):
         return True
-    if rest[0].islower():
-        return False
-    if word in _ALWAYS or len(word) == 1 and before.start() > 0 and line[before.start() - 1] in " (":
+    if line[at].islower():
         return False
-    return True
+    last = line[start - 1:start]
+    if not last.isalpha() or line[max(0, start - 7):start].isalpha() and start > 6:  # no word before it, or one too long for an abbreviation
+        return True
+    before = _WORD_BEFORE.search(line, max(0, start - 12), start)
+    word = before[0].lower() if before else ""
+    return not (word in _ALWAYS or len(word) == 1 and before.start() > 0 and line[before.start() - 1] in " (")
 
 
 def of_line(line: str, offset: int, out: list[tuple[int, str]]) -> None:
@@ -110,9 +109,12 @@ BETWEEN = "\x00"
 
 def tokens(found: list[str]) -> list[str]:
     """Code names, numbers, words and runs of ideographs of sentences, without inline markup; BETWEEN ends each sentence."""
-    if any(_MARKED.search(s) for s in found):
-        found = [_NOISE.sub("", s) if _MARKED.search(s) else s for s in found]
-    return _TERM.findall(BETWEEN.join(s.replace(BETWEEN, " ") for s in found) + BETWEEN)
+    joined = BETWEEN.join(found) + BETWEEN
+    if joined.count(BETWEEN) != len(found):
+        joined = BETWEEN.join(s.replace(BETWEEN, " ") for s in found) + BETWEEN
+    if _MARKED.search(joined):
+        joined = BETWEEN.join(_NOISE.sub("", s) if _MARKED.search(s) else s for s in joined[:-1].split(BETWEEN)) + BETWEEN
+    return _TERM.findall(joined)
 
 
 def terms_of(token: str) -> tuple[bool, list[str]]:
