@@ -153,12 +153,21 @@ def relations() -> list[tuple[str, str]]:
     return out
 
 
+_held: dict = {}
+
+
 def look_alike_classes() -> tuple[Classes, dict[str, str]]:
     """The classes of code points, and the string of class roots that each joined or composed character stands for.
 
     Relations to one character or to nothing are unions. A relation to a longer string is one to the
-    sequence of its characters' classes, so that it holds for every spelling of that string.
+    sequence of its characters' classes, so that it holds for every spelling of that string. Built once a process.
     """
+    if "classes" not in _held:
+        _held["classes"] = _build_classes()
+    return _held["classes"]
+
+
+def _build_classes() -> tuple[Classes, dict[str, str]]:
     classes, long = Classes(), []
     for a, b in relations():
         if len(b) <= 1:
@@ -243,6 +252,14 @@ class Rewriter:
         return self._rewrite(text, self._two) if self._two else text
 
 
+def rewriter_of(counts: dict[str, int]) -> Rewriter:
+    """The rewriter for these counts; the last one made is kept, as all tasks of a job use the same."""
+    key = frozenset(counts.items())
+    if _held.get("key") != key:
+        _held["key"], _held["rewriter"] = key, Rewriter(counts)
+    return _held["rewriter"]
+
+
 _JAMO = re.compile("[ᄀ-ᇿ]")
 
 
@@ -286,7 +303,7 @@ def consistent_forms(df: DataFrame, id_col: str, text_col: str, with_form: bool
     def rewrite(batches):
         import pyarrow as pa
 
-        to_form = Rewriter(counts)
+        to_form = rewriter_of(counts)
 
         def key(s: str) -> bytes:
             return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
