@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.functions import markdown as M
+from driftmark.operators import ordered as O
 from driftmark.operators import reports as R
 from driftmark.operators import revision as V
 from driftmark.operators import structure as S
@@ -76,11 +77,60 @@ def external_echo(spark: SparkSession, d: str) -> DataFrame:
     return V.call_external(rows, "source_new_content").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("reply")).alias("chars"))
 
 
+def heading_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of both sides of a page, paired in the difference of their texts."""
+    from driftmark.operators import diffs as D
+
+    rows = pages.documents(spark, d).groupBy("pair_id").agg(
+        F.max(F.when(F.col("side") == "source", F.col("content"))).alias("a"), F.max(F.when(F.col("side") == "target", F.col("content"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return O.pair_headings(D.operations(O.snapshot_diff(rows, "a", "b"), ["pair_id"], "patch"), ["pair_id"])
+
+
+def forward_match(spark: SparkSession, d: str) -> DataFrame:
+    """Target headings with source headings of equal level, taken in order."""
+    h = pages._heads(spark, d).select("pair_id", "side", "line_no", F.col("level").cast("string").alias("lv"))
+    return O.forward_greedy(h.where("side = 'target'"), h.where("side = 'source'"), ["pair_id"], "lv", "line_no")
+
+
+def level_repair(spark: SparkSession, d: str) -> DataFrame:
+    h = pages._heads(spark, d)
+    return O.repaired_levels(h.where("side = 'target'"), h.where("side = 'source'"), ["pair_id"], "line_no")
+
+
+def sections_without(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of source pages that are left without their sections on what comes first."""
+    ls = pages.lines(spark, d).where("side = 'source'")
+    return O.without_sections(ls, ["pair_id"], ["Before you start", "开始之前"]).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max("line_no").alias("last_line"))
+
+
+def version_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Old against new content of section updates, as a patch and its counts."""
+    rows = changes._apply(spark, d).select("apply_id", "source_old_content", "source_new_content")
+    return O.snapshot_diff(rows, "source_old_content", "source_new_content").select("apply_id", "additions", "deletions")
+
+
+def section_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Sections that differ between source and target of a page by the shape of their headings."""
+    def sections(side: str) -> DataFrame:
+        ls = pages.lines(spark, d).where(F.col("side") == side)
+        h = pages._heads(spark, d).where(F.col("side") == side).select("pair_id", F.col("line_no").alias("section_line"), F.repeat(F.lit("#"), F.col("level")).alias("path"))
+        return S.section_contents(ls, ["pair_id"]).select("pair_id", "section_line", F.col("n_lines").cast("string").alias("content")).join(h, ["pair_id", "section_line"])
+
+    return O.section_changes(sections("source"), sections("target"), ["pair_id"], "path", "content")
+
+
 _C = pages.BASE + r""", sc AS (SELECT pair_id, side, section_line, count(*) AS n_lines FROM (
       SELECT *, coalesce(max(CASE WHEN level > 0 THEN line_no END) OVER (PARTITION BY pair_id, side ORDER BY line_no), 0) AS section_line FROM lines) GROUP BY pair_id, side, section_line)
 """
-QUERIES = {f.__name__: f for f in (section_match, replacements, section_batches, char_tokens, prefix_events, scope_files, svg_round_trip, alias_lines, link_rewrite, heading_spacing, external_echo)}
+QUERIES = {f.__name__: f for f in (section_match, replacements, section_batches, char_tokens, prefix_events, scope_files, svg_round_trip, alias_lines, link_rewrite, heading_spacing, external_echo, heading_pairs, forward_match, level_repair, sections_without, version_diff, section_changes)}
 SQL = {
+    "level_repair": pages.BASE + """, n AS (SELECT pair_id FROM heads GROUP BY pair_id HAVING count(*) FILTER (side = 'source') = count(*) FILTER (side = 'target'))
+      SELECT t.pair_id, t.line_no, t.level AS old_level, s.level FROM heads t JOIN heads s ON s.pair_id = t.pair_id AND s.pos = t.pos AND t.side = 'target' AND s.side = 'source' WHERE t.pair_id IN (SELECT pair_id FROM n)""",
+    "section_changes": _C + """, x AS (SELECT h.pair_id, h.side, repeat('#', h.level::INT) AS path, n_lines::VARCHAR AS c, row_number() OVER (PARTITION BY h.pair_id, h.side, h.level ORDER BY h.line_no) AS nth
+        FROM heads h JOIN sc ON sc.pair_id = h.pair_id AND sc.side = h.side AND sc.section_line = h.line_no),
+      y AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.path, b.path) AS path, coalesce(a.nth, b.nth) AS nth, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.c <> b.c THEN 'modified' END AS operation
+        FROM (SELECT * FROM x WHERE side = 'source') a FULL JOIN (SELECT * FROM x WHERE side = 'target') b ON a.pair_id = b.pair_id AND a.path = b.path AND a.nth = b.nth)
+      SELECT * FROM y WHERE operation IS NOT NULL""",
     "replacements": changes._OPS + """, b AS (SELECT *, sum(g) OVER (PARTITION BY diff_id ORDER BY diff_index) AS block FROM (
       SELECT *, (coalesce(diff_index - lag(diff_index) OVER (PARTITION BY diff_id ORDER BY diff_index), 2) > 1)::INT AS g FROM ops WHERE op <> 'context')),
       o AS (SELECT *, row_number() OVER (PARTITION BY diff_id, block, op ORDER BY diff_index) AS nth FROM b),
