@@ -196,7 +196,9 @@ class Rewriter:
         classes, sequences = look_alike_classes()
         best = {}
         for root, members in classes.members().items():
-            single = [m for m in members if len(m) == 1 and m not in sequences] or [root]
+            single = [m for m in members if len(m) == 1 and m not in sequences]
+            # Forms of width and the like stand for another character and so never for a class.
+            single = [m for m in single if not unicodedata.decomposition(m).startswith("<")] or single or [root]
             best[root] = "" if root == "" else max(single, key=lambda m: (counts.get(m, 0), m in _ASCII, -ord(m[0])))
         first = {}
         for root, members in classes.members().items():
@@ -245,7 +247,7 @@ class Rewriter:
         return "".join(out)
 
     def __call__(self, text: str) -> str:
-        if self._plain and text.isascii() and "\r" not in text:
+        if not text or self._plain and text.isascii() and "\r" not in text:
             return text
         text = self._rewrite(unicodedata.normalize("NFC", text) if "ᄀ" <= max(text) and _JAMO.search(text) else text, self._one)
         text = _MARKS.sub(lambda m: "".join(sorted(m[0], key=unicodedata.combining)), text)

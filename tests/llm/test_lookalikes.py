@@ -43,6 +43,11 @@ def test_frequency_chooses_the_representative():
     assert L.Rewriter({"é": 1, "é": 5})("é") == "é"
 
 
+def test_width_never_represents_and_empty_text_is_kept():
+    r = L.Rewriter({"，": 99, ",": 1, "а": 9, "a": 1})
+    assert r("a，b") == "а,b" and r("") == "" and not r._plain
+
+
 def pairs(spark, data):
     df = spark.createDataFrame(data, "doc_id long, text string, id string, form_key string")
     return sorted(map(tuple, L.look_alike_pairs(df, "doc_id", "text").collect()))
@@ -72,3 +77,5 @@ def test_classes_and_forms(spark):
     assert sorted(map(tuple, L.look_alike_classes_of(df, "doc_id", "text").collect())) == [(1, 1, 3, 2), (2, 1, 3, 2), (3, 1, 3, 2)]
     forms = {r.doc_id: r.form for r in L.consistent_forms(df, "doc_id", "text").collect()}
     assert forms[1] == forms[2] == forms[3] and forms[5] is None
+    odd = spark.createDataFrame([(1, ""), (2, "раре а а а"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.form for r in L.consistent_forms(odd, "doc_id", "text").collect()} == {1: "", 2: "раре а а а", 3: None}
