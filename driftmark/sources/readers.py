@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from driftmark.functions.markdown import name_status
 
 CHANGED_FILE = T.StructType([T.StructField(c, T.StringType()) for c in ("filename", "status", "patch", "previous_filename")])
+# Names of the four lists.
 IGNORE_CONFIG = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in (
     "PR_MODE_IGNORE_FILES", "PR_MODE_IGNORE_FOLDERS", "COMMIT_BASED_MODE_IGNORE_FILES", "COMMIT_BASED_MODE_IGNORE_FOLDERS")])
 
