@@ -25,7 +25,7 @@ from driftmark.llm import sentences
 from driftmark.runtime import checkpointed, ship
 
 #: Terms are hashed into so many buckets per pair of languages; dimensions of the vectors, and of the sketch beyond them.
-BUCKETS, DIMENSIONS, SPARE, SEED = 1 << 15, 56, 16, 7
+BUCKETS, DIMENSIONS, SPARE, SEED = 1 << 15, 96, 32, 7
 _BLOCK = 512
 #: Ends a sentence's terms in the packed arrays; stands for no term.
 _STOP = (1 << 16) - 1
@@ -49,7 +49,7 @@ class Thresholds:
     """Least cosines of pairs: with equal names, without any, with names in part in common; and for merged windows, with the least gain over one part."""
 
     named: float = 0.35
-    plain: float = 0.75
+    plain: float = 0.72
     partly: float = 0.45
     window: float = 0.72
     gain: float = 0.02

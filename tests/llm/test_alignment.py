@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from driftmark.llm import alignment as A
@@ -98,3 +99,17 @@ def test_inputs_of_tables(spark):
                               "diff_id long, sync_id long, side string, patch string, lang string, loaded_at int")
     assert [(r.rec_id, r.source, r.target) for r in A.pairs_of_sides(d).collect()] == [(7, "A.", "C.")]
     assert A.language("zh-CN", []) == "zh" and A.language(None, ["Der Hund ist nicht da."]) == "de" and A.language(" ", ["行过滤器"]) == "zh" and A.language(None, []) == ""
+
+
+def test_vectors_tell_ninety_translated_terms_apart():
+    n = 90
+    row, term = np.repeat(np.arange(n), 2), np.arange(2 * n)  # a row is a term and its translation
+    idf, omega = np.ones(2 * n, np.float32), A._sketch_matrix()[:2 * n]
+    terms, y = A.sketch_batch(row, term, np.ones(2 * n), idf, omega)
+    v = A._unit(A.vectors_of(y.astype(np.float64), omega[terms], idf))
+    assert np.abs(v[::2] @ v[1::2].T - np.eye(n)).max() < 0.05
+
+
+def test_sentences_without_names_pair_from_the_least_cosine():
+    a, b = np.array([[1.0, 0.0]], np.float32), np.array([[0.73, (1 - 0.73 ** 2) ** 0.5]], np.float32)
+    assert A.align_document(a, b, [frozenset()], [frozenset()]) == [(0, 0)]
