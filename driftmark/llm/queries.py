@@ -30,7 +30,9 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_wrappers(spark: SparkSession, d: str) -> DataFrame:
-    return markup.host_wrappers(table(spark, d, "documents"), "source", "text")
+    docs = markup.host_wrappers(table(spark, d, "documents"), "source", "text").withColumn("tab", F.lit("documents"))
+    pairs = latest_by(table(spark, d, "structure_pair"), ["pair_id"], "loaded_at", ["target_content", "repo"])
+    return docs.unionByName(markup.host_wrappers(pairs, "repo", "target_content").withColumn("tab", F.lit("structure_pair")))
 
 
 _SPLIT = (("structure_pair", "pair_id", "target_content"), ("diff_file", "diff_id", "patch"))

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from driftmark.llm import markup as M
+from driftmark.llm import queries as Q
 from driftmark.llm import wrappers as W
 
 KINDS = [
@@ -75,3 +76,11 @@ def test_operators(spark, rows):
     assert got == {"h": (3, 2), None: (1, 1), "g": (1, 1)}
     for f in (lambda x: M.found_kinds(x, "id", "text"), lambda x: M.cleaned(x, "id", "text"), lambda x: M.host_wrappers(x, "kind", "text")):
         assert f(df.limit(0)).count() == 0
+
+
+def test_wrappers_of_both_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "<b>x</b>", "h")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [(1, "r", "old", 1), (1, "r", "# new", 2), (2, "r", "# x\n\n**y**", 1), (3, "h", None, 1), (4, None, "z", 1)]
+    spark.createDataFrame(pairs, "pair_id long, repo string, target_content string, loaded_at int").write.parquet(f"{tmp_path}/structure_pair.parquet")
+    got = {(r.tab, r.host): (r.n_pages, r.n_streams) for r in Q.p2_wrappers(spark, str(tmp_path)).collect()}
+    assert got == {("documents", "h"): (1, 1), ("structure_pair", "r"): (2, 2), ("structure_pair", "h"): (1, 1), ("structure_pair", None): (1, 1)}
