@@ -403,8 +403,7 @@ def host_wrappers(df: DataFrame, host_col: str, text_col: str) -> DataFrame:
         for b in batches:
             for host, s, n in zip(*(b.column(i).to_pylist() for i in range(3))):
                 w, pages, streams = held.get(host, (None, 0, 0))
-                one = wrapper_rules.page(s)
-                held[host] = (one if w is None else wrapper_rules.align(w, one), pages + n, streams + 1)
+                held[host] = (wrapper_rules.add(w, s), pages + n, streams + 1)
         rows = list(held.items())
         yield pa.RecordBatch.from_arrays([
             pa.array([h for h, _ in rows], pa.string()), pa.array([wrapper_rules.dumps(v[0]) for _, v in rows], pa.string()),

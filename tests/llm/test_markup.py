@@ -67,6 +67,23 @@ def test_wrapper_of_a_template():
     assert W.show(w) == "h # (li #)+ (note)? (#)? end" or W.accepts(w, "h # li # li # li # li # end")
 
 
+
+def test_mismatches_fold_into_repeated_groups():
+    one, two = W.page("li #"), W.page("li # li #")
+    assert W.show(two) == W.show(W.align(one, two)) == W.show(W.align(two, one)) == "(li #)+"
+    assert W.show(W.align(("h", "li", "#", "x"), ("h", "li", "#", "li", "#", "x"))) == "h (li #)+ x"
+    long = "a b c d e f g h i j k"
+    assert W.show(W.page(f"{long} {long} {long}")) == f"({long})+"
+
+
+def test_many_optionals_keep_their_order():
+    labels = [f"t{i}" for i in range(30)]
+    w = W.infer(map(W.page, ["s e", *(f"s {x} e" for x in labels), " ".join(["s", *labels, "e"])]))
+    assert W.accepts(w, " ".join(["s", *labels, "e"])) and W.accepts(w, "s e") and not W.accepts(w, " ".join(["s", *labels * 40, "e"]))
+    w = W.infer(map(W.page, ["s e", " ".join(["s", *labels, "e"])]))
+    assert W.accepts(w, " ".join(["s", *labels[::3], "e"])) and not W.accepts(w, " ".join(["s", *labels[::-1], "e"]))
+
+
 def test_operators(spark, rows):
     df = spark.createDataFrame([(1, "<b>x</b>", "h"), (1, "<b>x</b>", "h"), (2, None, "h"), (3, "", None), (None, "# t", "g")], "id long, text string, kind string")
     assert rows(M.found_kinds(df, "id", "text")) == sorted([(1, "html"), (None, "markdown")], key=repr)
