@@ -73,3 +73,12 @@ def test_text_functions(spark):
     assert value(M.blank_before_headings(F.lit("a\n# b\n\n## c\nd"))) == "a\n\n# b\n\n## c\nd"
     assert value(M.section_key(F.lit("## What is new in v1.2.3 `x`"))) == "what is new in * x"
     assert [value(M.is_identifier_title(F.lit(t))) for t in ("max_size", "cache.level", "word", "two words")] == [True, True, False, False]
+
+
+def test_every_diff_is_looked_up_by_its_digest(spark, rows, tmp_path):
+    import hashlib
+
+    from driftmark.plans import revisions
+
+    spark.createDataFrame([(i,) for i in (1, 2, 2, 3, 4)], "diff_id long").write.parquet(f"{tmp_path}/diff_file.parquet")
+    assert rows(revisions.prefix_events(spark, str(tmp_path))) == sorted((hashlib.sha256(b"%d" % i).hexdigest()[:9], i) for i in (1, 2, 3, 4))
