@@ -37,7 +37,7 @@ def apply_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_marks(spark: SparkSession, d: str) -> DataFrame:
-    rows = latest_by(table(spark, d, "structure_pair"), ["pair_id"], "loaded_at", ["target_content"]).where("target_content IS NOT NULL AND target_content NOT LIKE '%<!--%'")
+    rows = latest_by(table(spark, d, "structure_pair"), ["pair_id"], "loaded_at", ["target_content"]).where("target_content IS NOT NULL")
     return rows.select("pair_id", A.mark_document(F.col("target_content"), "source-commit", F.col("pair_id").cast("string")).alias("content"))
 
 

@@ -86,3 +86,13 @@ def test_stream_is_idempotent(spark, rows, tmp_path):
     ledger.merge_batch(spark.createDataFrame([(2, 9, "success", 1), (3, 9, "failed", 1)], batch.schema), 1, folder)
     assert rows(spark.read.parquet(ledger.version_path(folder, 0))) == [(2, 7)]
     assert rows(spark.read.parquet(ledger.version_path(folder, 1))) == [(3, 9)]
+
+
+def test_pages_with_comments_are_marked(spark, rows, tmp_path):
+    from driftmark.plans import workflow
+
+    pages = [(1, "# T\nx", 1), (2, "<!-- note -->\n# T\nx", 1), (3, "# T <!-- source-commit: old --> \nx", 1), (4, "<!-- source-commit: 9 -->\nx <!-- note -->", 1), (5, None, 1), (6, "a <!-- b -->", 1), (6, "# c", 2)]
+    spark.createDataFrame(pages, "pair_id long, target_content string, loaded_at int").write.parquet(f"{tmp_path}/structure_pair.parquet")
+    mark = "<!-- source-commit: %d -->"
+    assert rows(workflow.page_marks(spark, str(tmp_path))) == [
+        (1, f"# T {mark % 1}\nx"), (2, f"<!-- note -->\n# T {mark % 2}\nx"), (3, f"# T  {mark % 3}\nx"), (4, f"{mark % 4}\nx <!-- note -->"), (6, f"# c {mark % 6}")]
