@@ -429,17 +429,18 @@ def _merges(ua: np.ndarray, vb: np.ndarray, na: list, nb: list, free_a: np.ndarr
     size = np.sqrt(np.maximum(np.einsum("ij,ij->i", vb[left], vb[left]), 1e-12))
     dots = vb[left] @ ua.T
     for i in np.flatnonzero(free_a):
-        near = [x for x in np.flatnonzero(dots[:, i] > 0.25 * size) if free_b[left[x]] and nb[left[x]] <= na[i]]
+        near = np.array([x for x in range(len(left)) if free_b[left[x]] and nb[left[x]] <= na[i]], np.intp)
         best = None
-        for y, x in enumerate(near):
-            for z in near[y + 1:]:
-                j, k = int(left[x]), int(left[z])
-                if na[i] != nb[j] | nb[k]:
-                    continue
-                both = vb[j] + vb[k]
-                merged = (dots[x, i] + dots[z, i]) / max(float(np.sqrt(both @ both)), 1e-9)
-                if merged >= t.window and merged - max(dots[x, i] / size[x], dots[z, i] / size[z]) >= t.gain and (best is None or merged > best[0]):
-                    best = (merged, j, k)
+        # Each part with all after it: every pair, as a short or distant part may complete a window.
+        for y, x in enumerate(near[:-1]):
+            rest = near[y + 1:]
+            both = vb[left[x]] + vb[left[rest]]
+            merged = (dots[x, i] + dots[rest, i]) / np.maximum(np.sqrt(np.einsum("ij,ij->i", both, both)), 1e-9)
+            alone = np.maximum(dots[x, i] / size[x], dots[rest, i] / size[rest])
+            for z in np.flatnonzero((merged >= t.window) & (merged - alone >= t.gain)):
+                j, k = int(left[x]), int(left[rest[z]])
+                if na[i] == nb[j] | nb[k] and (best is None or merged[z] > best[0]):
+                    best = (merged[z], j, k)
         if best:
             out += [(int(i), best[1]), (int(i), best[2])]
             free_b[best[1]] = free_b[best[2]] = False

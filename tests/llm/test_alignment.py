@@ -113,3 +113,13 @@ def test_vectors_tell_ninety_translated_terms_apart():
 def test_sentences_without_names_pair_from_the_least_cosine():
     a, b = np.array([[1.0, 0.0]], np.float32), np.array([[0.73, (1 - 0.73 ** 2) ** 0.5]], np.float32)
     assert A.align_document(a, b, [frozenset()], [frozenset()]) == [(0, 0)]
+
+
+def test_a_short_distant_part_completes_a_window():
+    # Lengths 1 and 0.3, cosines 0.7 and 0.24 with the sentence, orthogonal to one another: 0.739 together.
+    a = np.array([[1.0, 0.0, 0.0]], np.float32)
+    x = np.array([0.7, (1 - 0.7 ** 2) ** 0.5, 0.0])
+    second = -0.7 * 0.24 / x[1]
+    y = 0.3 * np.array([0.24, second, (1 - 0.24 ** 2 - second ** 2) ** 0.5])
+    none = frozenset()
+    assert A.align_document(a, np.array([x, y], np.float32), [none], [none, none]) == [(0, 0), (0, 1)]
