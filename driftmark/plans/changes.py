@@ -234,8 +234,7 @@ def keyword_delta(spark: SparkSession, d: str) -> DataFrame:
 
 def redact(spark: SparkSession, d: str) -> DataFrame:
     """Properties of events with what looks like a credential masked."""
-    text = F.concat(F.lit("https://u:"), F.col("event_id").cast("string"), F.lit("@h/x?token="), F.col("user_id").cast("string"), F.lit("&a=1 Authorization: Bearer "), F.col("event_type"))
-    return table(spark, d, "events").select("event_id", M.redact(text).alias("text"))
+    return table(spark, d, "events").select("event_id", M.redact(F.col("props")).alias("text"))
 
 
 _D = """WITH df AS (SELECT * FROM diff_file QUALIFY row_number() OVER (PARTITION BY diff_id ORDER BY loaded_at DESC NULLS LAST, sync_id DESC NULLS LAST, side DESC NULLS LAST, filename DESC NULLS LAST,

@@ -82,3 +82,11 @@ def test_every_diff_is_looked_up_by_its_digest(spark, rows, tmp_path):
 
     spark.createDataFrame([(i,) for i in (1, 2, 2, 3, 4)], "diff_id long").write.parquet(f"{tmp_path}/diff_file.parquet")
     assert rows(revisions.prefix_events(spark, str(tmp_path))) == sorted((hashlib.sha256(b"%d" % i).hexdigest()[:9], i) for i in (1, 2, 3, 4))
+
+
+def test_credentials_in_properties_are_masked(spark, rows, tmp_path):
+    from driftmark.plans import changes
+
+    props = [(1, '{"url": "https://u:secret@h/x?token=abc&a=1"}'), (2, "Authorization: Bearer abc"), (3, '{"k": 1}'), (4, None)]
+    spark.createDataFrame(props, "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(changes.redact(spark, str(tmp_path))) == sorted([(1, '{"url": "https://u:[REDACTED]@h/x?token=[REDACTED]&a=1"}'), (2, "Authorization: Bearer [REDACTED]"), (3, '{"k": 1}'), (4, None)], key=repr)
