@@ -2,7 +2,7 @@ import pytest
 
 from driftmark.llm import truncation as T
 
-SCHEMA = "apply_id long, target_new_content string, source_new_content string, target_lang string, source_lang string, provider string, loaded_at int, words string, last string, reason string"
+SCHEMA = "apply_id long, target_new_content string, source_new_content string, target_lang string, source_lang string, provider string, loaded_at int, units string, last string, reason string"
 SENTENCES = ["The write buffer keeps up to {n} entries in memory before it contacts the job queue.", "Some operations, e.g. an update of the {e}, need additional permissions.",
              "Each {e} belongs to exactly one {f}.", "For small teams, one {e} with {n} workers is enough."]
 NAMES = ["query planner", "network bridge", "cold tier", "storage node"]
@@ -52,3 +52,17 @@ def test_empty_and_very_long(spark):
     assert T.truncated(spark.createDataFrame([], SCHEMA)).count() == 0
     text = "One sentence here. " * 20000
     assert T.truncated(spark.createDataFrame([(1, text, "Q.", "en", "de", "p", 1, "", "", "")], SCHEMA)).first().cut is False
+
+
+def test_trigrams_decide_and_the_source_only_vetoes(spark):
+    full = corpus()[3][1]
+    bare = full + " Each query planner belongs to exactly one cold tier"
+    rows = [(i, t, s, "en", "de", "p", 1, "", "", "") for i, t, s in corpus()] + [(1000, bare, None, "en", "de", "q", 1, "", "", ""), (1001, bare, "Ohne Ende", "en", "de", "q", 1, "", "", "")]
+    got = {r.apply_id: (r.reason, r.level) for r in T.truncated(spark.createDataFrame(rows, SCHEMA)).where("apply_id >= 1000").collect()}
+    assert got == {1000: ("bare", "trigram"), 1001: (None, None)}
+
+
+@pytest.mark.parametrize("tail", [" " * 10**6, " \n" * 300_000, " ..." * 200_000, " [cut]" * 100_000, "a-" * 300_000, "`" * 300_000, "(" * 300_000, "\u3000…" * 200_000])
+def test_long_runs_neither_overflow_nor_rescan(spark, tail):
+    for text in (f"Some words{tail}end.", f"Some words.{tail}"):
+        assert T.truncated(spark.createDataFrame([(1, text, text, "en", "de", "p", 1, "", "", "")], SCHEMA)).count() == 1
