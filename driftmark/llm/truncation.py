@@ -28,7 +28,7 @@ _OPEN = r"(?ms)^[ \t]*(?:`{3,}|~{3,}).*\z"
 _BREAK = r"(?<![ (][\p{L}]\.)(?<=[.!?][\"')»]{0,2})[ \t]+(?=[^\p{Ll}\s])|(?<=[。！？])(?=[^”’」』）。！？])"
 _END = r"[.!?。！？][\"')»”’」』）]*$"
 #: A point that may be an abbreviation's.
-_SHORT = r"(?:(?<![\p{L}\p{M}])\p{L}{1,4}|\p{L}\.\p{L})\.$"
+_SHORT = r"(?:(?<![\p{L}\p{M}\p{N}_.-])\p{L}{1,4}|(?<![\p{L}\p{M}\p{N}_-])\p{L}\.\p{L})\.$"
 _TOKEN = (
     r"«[a-z]»|\p{IsHan}|[\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}][\p{L}\p{M}'’]*+(?:[-_.][\p{L}\p{N}]++)*+|\p{N}++|[`|\[<&]|-{2,}"
 )
@@ -107,7 +107,7 @@ def ending_counts(texts: DataFrame) -> DataFrame:
     """``lang``, ``ending`` (key), ``inside``, ``terminal`` and ``bare`` (terminal without end mark) over all units of rows with ``lang`` and ``units``.
 
     ``units``: array of struct(w, marked), w from ``_words_sql``. The last unit of a text counts inside only, as its end isn't known to be
-    one. A position leaves as one row; trigrams combine before the shuffle, and pairs, words and kinds are summed from them.
+    one. A position leaves as one row; trigrams combine before the shuffle, and pairs, words and kinds are summed from their counts.
     """
     units = texts.select("lang", F.posexplode("units").alias("n", "u"), F.size("units").alias("of")).select(
         "lang", F.col("u.w").alias("w"), F.col("u.marked").alias("marked"), (F.col("n") == F.col("of") - 1).alias("last")).where("size(w) > 3 OR size(w) = 3 AND NOT last")
@@ -117,14 +117,9 @@ def ending_counts(texts: DataFrame) -> DataFrame:
     grams = grams.select("lang", "g.*", (~end).cast("long").alias("inside"), end.cast("long").alias("terminal"), (end & ~F.col("marked")).cast("long").alias("bare"))
     sums = [F.sum(c).alias(c) for c in ("inside", "terminal", "bare")]
 
-    def up(df: DataFrame, key: str, *rest: str) -> DataFrame:
-        return df.groupBy("lang", key).agg(*[F.first(c).alias(c) for c in rest], *sums)
-
-    t = up(grams, "t", "p", "u", "v", "k")
-    p = up(t, "p", "u", "v", "k")
-    u = up(p, "u", "v", "k")
-    out = [x.select("lang", F.xxhash64(F.lit(c), F.col(c)).alias("ending"), "inside", "terminal", "bare") for x, c in ((t, "t"), (p, "p"), (u, "u"), (up(u, "v"), "v"), (up(u, "k"), "k"))]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+    trigrams = grams.groupBy("lang", "t").agg(*[F.first(c).alias(c) for c in "puvk"], *sums)
+    keys = ", ".join(f"xxhash64('{c}', {c})" for c in "tpuvk")
+    return trigrams.select("lang", F.explode(F.expr(f"array({keys})")).alias("ending"), "inside", "terminal", "bare").groupBy("lang", "ending").agg(*sums)
 
 
 def truncated(df: DataFrame, *, id_col: str = "apply_id", text_col: str = "target_new_content", source_text_col: str = "source_new_content",
