@@ -13,7 +13,7 @@ def to_form():
 
 SAME = [
     ("ｆｕｌｌ　ｗｉｄｔｈ", "full width"), ("ﬁle ﬂow ﬃ", "file flow ffi"), ("café", "café"), ("K", "K"), ("раgе", "page"), ("wοrkеrѕ", "workers"), ("a​b­c﻿", "abc"),
-    ("a b c d", "a b c d"), ("⽤⼾", "用戶"), ("й", "й"), ("ё", "ë"), ("a\r\nb", "a\nb"), ("ệ", "ệ"), ("한", "한"), ("Ⅷ", "VIII"),
+    ("a b c d", "a b c d"), ("⽤⼾", "用戶"), ("й", "й"), ("ё", "ë"), ("a\r\nb", "a\nb"), ("ệ", "ệ"), ("한", "한"), ("Ⅷ", "VIII"), ("\u212b", "\u00c5"), ("\u212b", "A\u030a"),
 ]
 DIFFERENT = [("a", "A"), ("resume", "résumé"), ("x2", "x²"), ("1", "①"), ("a-b", "a–b"), ("𝔘", "U"), ("0", "O"), ("l", "1"), ("I", "l"), ("а б", "аб"), ("👩‍👩", "👩👩"), ("é", "è")]
 
@@ -79,3 +79,19 @@ def test_classes_and_forms(spark):
     assert forms[1] == forms[2] == forms[3] and forms[5] is None
     odd = spark.createDataFrame([(1, ""), (2, "раре а а а"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.form for r in L.consistent_forms(odd, "doc_id", "text").collect()} == {1: "", 2: "раре а а а", 3: None}
+
+
+def test_strings_are_members_of_classes():
+    _, strings = L.look_alike_classes()
+    assert strings.find("\u212b") == strings.find("Å") == strings.find("A\u030a") and strings.find("ﬁ") == strings.find("fi") != strings.find("ﬂ")
+
+
+def test_copies_beside_one_variant_are_linear(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "раge one").otherwise("page one").alias("text"))
+    began = time.time()
+    assert L.look_alike_pairs(rows, "doc_id", "text").count() == 99_999
+    assert time.time() - began < 60
