@@ -17,6 +17,10 @@ from driftmark.llm.tokens import with_counts
 from driftmark.runtime import checkpointed
 
 
+#: As a total: the largest at which all shares are met exactly.
+EXACT = "exact"
+
+
 @dataclass(frozen=True)
 class Mixture:
     """rates: one row per target source. sample: the documents with their copy number. report: shares reached."""
@@ -26,13 +30,13 @@ class Mixture:
     report: DataFrame
 
 
-def repetition_rates(per_source: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def repetition_rates(per_source: DataFrame, targets: DataFrame, total: int | str | None = None) -> DataFrame:
     """The rate of each source of ``targets`` (source, weight, max_repeat) from ``per_source`` (source, n_docs, n_tokens).
 
-    total: tokens the mixture should have. None takes the largest total at which every source that
-    has tokens reaches its weight without exceeding its cap. With a given total, a source that is too
-    small comes out at its cap, falls short and is reported so (``limited``); nothing is taken
-    from others to fill up, which would distort their shares further. Sources without tokens get rate
+    total: tokens the mixture should have. None takes as many as the target sources have together; ``EXACT`` the largest total
+    at which every source that has tokens and may be used reaches its weight without exceeding its cap. A source that is too
+    small for the total comes out at its cap, falls short and is reported so (``limited``); nothing is taken
+    from others to fill up, which would distort their shares further. Sources without tokens, and those whose cap is 0, get rate
     0 and are limited; null weight counts as 0, null max_repeat as 1. A source listed twice counts
     once, with the greatest weight. The table of targets is small by nature: one row a source.
     """
@@ -42,8 +46,9 @@ def repetition_rates(per_source: DataFrame, targets: DataFrame, total: int | Non
     joined = goal.join(per_source, "source", "left").select(
         "source", "weight", "max_repeat", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")
     )
-    room = F.when((F.col("weight") > 0) & (F.col("n_tokens") > 0), F.col("max_repeat") * F.col("n_tokens") / F.col("weight"))
-    size = joined.agg((F.min(room) if total is None else F.lit(float(total))).alias("total_tokens"))
+    room = F.when((F.col("weight") > 0) & (F.col("n_tokens") > 0) & (F.col("max_repeat") > 0), F.col("max_repeat") * F.col("n_tokens") / F.col("weight"))
+    whole = F.min(room) if total == EXACT else F.sum("n_tokens").cast("double") if total is None else F.lit(float(total))
+    size = joined.agg(whole.alias("total_tokens"))
     wanted = F.coalesce(F.col("weight") * F.col("total_tokens"), F.lit(0.0))
     rate = F.when(F.col("n_tokens") > 0, F.least(wanted / F.col("n_tokens"), F.col("max_repeat").cast("double"))).otherwise(0.0)
     return joined.crossJoin(F.broadcast(size)).select(  # size is a single row
@@ -61,7 +66,7 @@ def copies_sql(rate: str, seed: int, *keys: str) -> str:
 
 
 def mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        total: int | None = None, seed: int = 20, vocabulary: str | None = None) -> Mixture:
+        total: int | str | None = None, seed: int = 20, vocabulary: str | None = None) -> Mixture:
     """The mixture that ``targets`` asks for.
 
     Texts are tokenised once, and only those of target sources; the counts are written to the shared

@@ -12,7 +12,7 @@ def docs(spark, per):
 
 def test_shares_and_caps(spark):
     t = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], TARGET)
-    m = mixture.mix(docs(spark, [("a", 600), ("b", 100), ("other", 50)]), t)
+    m = mixture.mix(docs(spark, [("a", 600), ("b", 100), ("other", 50)]), t, total=mixture.EXACT)
     report = {r.source: r for r in m.report.collect()}
     assert report["b"].rate == 3.0 and not report["b"].limited and report["b"].n_copies == 300
     assert abs(report["a"].share - 0.5) < 0.06 and abs(sum(r.share for r in report.values()) - 1) < 1e-9
@@ -51,3 +51,17 @@ def test_nulls_and_doubled_targets(spark):
     m = mixture.mix(d, t)
     got = {r.source: r for r in m.report.collect()}
     assert set(got) == {"a", "b"} and got["a"].rate == 1.0 and got["a"].share == 1.0 and m.sample.count() == 4
+
+
+def test_default_total_uses_the_corpus_and_reports_what_is_too_small(spark):
+    t = spark.createDataFrame([("a", 0.6, 3), ("b", 0.4, 3)], TARGET)
+    got = {r.source: r for r in mixture.mix(docs(spark, [("a", 600), ("b", 20), ("other", 50)]), t).report.collect()}
+    assert got["b"].limited and got["b"].rate == 3.0 and got["b"].n_copies == 60 and got["b"].share < 0.4
+    assert not got["a"].limited and abs(got["a"].rate - 0.6 * (got["a"].n_tokens + got["b"].n_tokens) / got["a"].n_tokens) < 1e-6
+
+
+@pytest.mark.parametrize("total", [None, mixture.EXACT])
+def test_a_cap_of_zero_leaves_out_its_source_only(spark, total):
+    t = spark.createDataFrame([("a", 0.6, 3), ("b", 0.4, 0)], TARGET)
+    got = {r.source: r for r in mixture.mix(docs(spark, [("a", 50), ("b", 20)]), t, total=total).report.collect()}
+    assert got["b"].limited and got["b"].n_copies == 0 and got["a"].n_copies > 0
