@@ -1,24 +1,25 @@
 """Markup residue: which markup a text holds, and clean text that keeps its structure (problem 2).
 
-A text is first lexed into a stream of markup tokens and text slots. Token streams of the pages of
-one host are aligned into a wrapper, a union-free regular expression (``wrappers``). Clean text is
-made from the same tokens: headings, lists, code blocks, tables and formulas stay distinguishable.
-
-Whether a record holds a kind of markup can't be told from a wrapper, which says what a host's pages
-have in common: residue is exactly what they don't. So kinds come from the token stream itself.
+A text is lexed into a stream of structural marks (headings, lists, tables, blocks) and text slots between them. The streams of a
+host's pages are clustered by template, the languages of markup they are built of, and aligned into a wrapper a template, a
+union-free regular expression (``wrappers``). A page's kinds are those of the wrapper's marks that it is parsed by, and those of
+the inline marks, the residue, that stand in its text slots. Clean text is made from the same tokens: headings, lists,
+code blocks, tables and formulas stay distinguishable.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from functools import reduce
 from html.entities import html5
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm import wrappers as wrapper_rules
-from driftmark.runtime import ship
+from driftmark.runtime import checkpointed, ship
 
 KINDS = ("html", "markdown", "wiki", "latex")
 
@@ -41,8 +42,8 @@ tableofcontents bf it em tt rm sf sc sl bfseries itshape ttfamily small large La
 bigskip smallskip vfill hfill appendix LaTeX TeX left right displaystyle limits""".split()
 
 _FENCED = re.compile(r"^(?P<q>[ \t]*(?:>[ \t]?)*)(?P<f>`{3,}|~{3,})(?P<info>[^\n`]*)\n(?P<body>.*?)(?:^(?P=q)[ \t]*(?P=f)[`~]*[ \t]*\r?$|\Z)", re.M | re.S)
-_PRE = re.compile(r"<(?P<n>pre|syntaxhighlight|script|style)\b[^>]*>(?P<body>.*?)</(?P=n)\s*>", re.I | re.S)
-_VERBATIM = re.compile(r"\\begin\{(?P<n>verbatim\*?|lstlisting|minted)\}(?:\[[^\]\n]*\])?(?P<body>.*?)\\end\{(?P=n)\}", re.S)
+_PRE = re.compile(r"<(?P<n>pre|syntaxhighlight|script|style)\b[^<>]*>|</(?P<e>pre|syntaxhighlight|script|style)\s*>", re.I)
+_VERBATIM = re.compile(r"\\begin\{(?P<n>verbatim\*?|lstlisting|minted)\}(?:\[[^\]\n]*\])?|\\end\{(?P<e>verbatim\*?|lstlisting|minted)\}")
 _INDENTED = re.compile(r"(?:(?<=\n\n)|(?<=\n\r\n)|\A)(?P<body>(?:[ \t](?!\s*(?:[-*+]|\d+[.)])\s)[^\n]*(?:\n|\Z))+)")
 _INLINE = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+?)(?<!`)\1(?!`)")
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
@@ -76,6 +77,36 @@ _SETEXT = re.compile(r"(?:\A|(?<=\n\n)|(?<=\n\r\n))[^\s|<>\[#=\-*+][^\n]*\n(?:={
 _FRONT = re.compile(r"\A\ufeff?---[ \t]*\r?\n(?:[A-Za-z_][\w-]*:[^\n]*\n|[ \t-][^\n]*\n)+---[ \t]*\r?(?=\n|\Z)")
 
 
+def _enclosed(pattern: re.Pattern, text: str) -> list[tuple[str, int, int, int, int]]:
+    """(name, start, start of the body, its end, end) of each opening mark with the next closing one of its name; each mark is looked at once."""
+    marks = [((m["n"] or m["e"]).lower(), m["n"] is not None, m.start(), m.end()) for m in pattern.finditer(text)]
+    close: list[int | None] = [None] * len(marks)
+    following: dict[str, int] = {}
+    for k in range(len(marks) - 1, -1, -1):
+        name, opens = marks[k][:2]
+        if opens:
+            close[k] = following.get(name)
+        else:
+            following[name] = k
+    out, k = [], 0
+    while k < len(marks):
+        at = close[k]
+        if at is None:
+            k += 1
+        else:
+            out.append((marks[k][0], marks[k][2], marks[k][3], marks[at][2], marks[at][3]))
+            k = at + 1
+    return out
+
+
+def _replaced(spans, text: str, new) -> str:
+    out, at = [], 0
+    for name, s, body, body_end, e in spans:
+        out += [text[at:s], new(text[body:body_end])]
+        at = e
+    return "".join([*out, text[at:]]) if out else text
+
+
 def _mask(text: str, spans: list[tuple[int, int]]) -> str:
     """The text with the spans blanked out, line structure and offsets kept."""
     if not spans:
@@ -111,14 +142,13 @@ def tokens(text: str) -> list[Token]:
     rest = _mask(text, hidden)
     spans = []
     if "<" in rest:
-        for m in _PRE.finditer(rest):
-            kind = "wiki" if m["n"].lower() == "syntaxhighlight" else "html"
-            out.append((kind, m["n"].lower(), m.start(), m.end()))
-            spans.append(m.span())
+        for name, start, _, _, end in _enclosed(_PRE, rest):
+            out.append(("wiki" if name == "syntaxhighlight" else "html", name, start, end))
+            spans.append((start, end))
     if "\\begin" in rest:
-        for m in _VERBATIM.finditer(rest):
-            out.append(("latex", "verbatim", m.start(), m.end()))
-            spans.append(m.span())
+        for _, start, _, _, end in _enclosed(_VERBATIM, rest):
+            out.append(("latex", "verbatim", start, end))
+            spans.append((start, end))
     if spans:
         rest = _mask(rest, spans)
         spans = []
@@ -215,8 +245,8 @@ def clean(text: str | None) -> str | None:
     t = _FRONT.sub("", t)
     t = _FENCED.sub(lambda m: block(m["body"], m["info"]), t)
     t = re.sub(r"<(script|style|title)\b[^>]*>.*?</\1\s*>", "", t, flags=re.I | re.S)
-    t = _PRE.sub(lambda m: block(_html.unescape(re.sub(r"</?code\b[^>]*>", "", m["body"], flags=re.I))), t)
-    t = _VERBATIM.sub(lambda m: block(m["body"]), t)
+    t = _replaced(_enclosed(_PRE, t), t, lambda body: block(_html.unescape(re.sub(r"</?code\b[^<>]*>", "", body, flags=re.I))))
+    t = _replaced(_enclosed(_VERBATIM, t), t, block)
     wiki_page = bool(_WIKI_PAGE.search(t))
     if wiki_page:
         t = _INDENTED.sub(lambda m: block(re.sub(r"^ ", "", m["body"], flags=re.M)), t)
@@ -235,11 +265,35 @@ def clean(text: str | None) -> str | None:
         t = _clean_wiki(t, wiki_page)
     t = _clean_markdown(t)
     t = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", t)).strip()
-    for _ in range(3):  # code within code: placeholders may hold placeholders
-        if _OPEN not in t:
-            break
-        t = re.sub(f"{_OPEN}(\\d+){_CLOSE}", lambda m: kept[int(m[1])] if int(m[1]) < len(kept) else "", t)
-    return t
+    # Code within code: what was kept may hold what was kept before it, to any depth.
+    for k, x in enumerate(kept):
+        kept[k] = _PLACE.sub(lambda m: kept[int(m[1])], x)
+    return _PLACE.sub(lambda m: kept[int(m[1])], t)
+
+
+_PLACE = re.compile(f"{_OPEN}(\\d+){_CLOSE}")
+
+
+def _unwrapped(t: str) -> str:
+    """The text without commands around braces and switches within them, however deep they nest; one pass with a stack."""
+    cut: list[tuple[int, int]] = []
+    stack: list[tuple[int, int] | None] = []
+    for m in _BRACES.finditer(t):
+        mark = m[0]
+        if mark == "}":
+            held = stack.pop() if stack else None
+            if held:
+                cut += [held, m.span()]
+        elif mark not in ("\\{", "\\}"):
+            stack.append(m.span() if len(mark) > 1 else None)
+    out, at = [], 0
+    for s, e in sorted(cut):
+        out.append(t[at:s])
+        at = e
+    return "".join([*out, t[at:]])
+
+
+_BRACES = re.compile(r"(?<![\w:\\])\\[A-Za-z]+\*?\{|\{\\[A-Za-z]+[ \t]+|\\[{}]|[{}]")
 
 
 def _clean_latex(t: str) -> str:
@@ -254,12 +308,7 @@ def _clean_latex(t: str) -> str:
     t = numbered.sub(lambda m: re.sub(r"^\s*\\item\s*", "1. ", m[1].strip("\n"), flags=re.M), t)
     t = re.sub(r"^[ \t]*\\item(?:\[[^\]]*\])?\s*", "- ", t, flags=re.M)
     t = re.sub(r"\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\])?", "", t)
-    for _ in range(4):
-        new = re.sub(r"(?<![\w:\\])\\[A-Za-z]+\*?\{([^{}]*)\}", r"\1", t)
-        new = re.sub(r"\{\\[A-Za-z]+[ \t]+([^{}]*)\}", r"\1", new)
-        if new == t:
-            break
-        t = new
+    t = _unwrapped(t)
     t = re.sub(r"(?<![\w:\\.])\\(" + "|".join(sorted(_COMMANDS, key=len, reverse=True)) + r")(?![A-Za-z_\\])[ \t]?", "", t)
     return re.sub(r"\\([%&#_${}])", r"\1", t)
 
@@ -318,20 +367,61 @@ def _clean_markdown(t: str) -> str:
     return re.sub(r"^([ \t]*\d+)\)[ \t]+", r"\1. ", t, flags=re.M)
 
 
-def stream(text: str | None) -> str:
-    """The page as a string of labels, one per markup token, with # for each stretch of text between them."""
+# Labels of structural marks; all other marks stand within text.
+_STRUCTURE = {
+    "html": frozenset("""h1 h2 h3 h4 h5 h6 p div ul ol li dl dt dd table thead tbody tfoot tr td th caption pre br hr blockquote section article header
+footer nav aside main figure figcaption form fieldset body html head title details summary script style iframe center address <!""".split()),
+    "markdown": frozenset("front fence heading table quote".split()),
+    "wiki": frozenset("== {| |} |- syntaxhighlight preformatted".split()),
+    "latex": frozenset("begin end verbatim part chapter section subsection subsubsection paragraph item documentclass usepackage title maketitle tableofcontents newpage hline".split()),
+}
+_BIT = {k: 1 << i for i, k in enumerate(KINDS)}
+
+
+def page_stream(text: str | None) -> tuple[list[str], list[int]]:
+    """The page as labels, one per structural mark and # for each stretch of text between them, and per label the kinds of the inline marks in it, as bits."""
+    labels: list[str] = []
+    inside: list[int] = []
     if not text:
-        return ""
-    out, at = [], 0
+        return labels, inside
+    at, pending = 0, 0
+
+    def slot(end: int) -> None:
+        nonlocal pending
+        if pending or end > at and text[at:end].strip():
+            labels.append("#")
+            inside.append(pending)
+            pending = 0
+
     for kind, label, s, e in tokens(text):
-        if s > at and text[at:s].strip():
-            out.append("#")
+        if label.split("{")[0] not in _STRUCTURE[kind]:
+            pending |= _BIT[kind]
+            continue
         if e > at:
-            out.append(f"{kind}:{label.replace(' ', '_')}")
-            at = max(at, e)
-    if text[at:].strip():
-        out.append("#")
-    return " ".join(out)
+            slot(s)
+            labels.append(f"{kind}:{label.replace(' ', '_')}")
+            inside.append(0)
+            at = e
+        else:  # within the mark before
+            pending |= _BIT[kind]
+    slot(len(text))
+    return labels, inside
+
+
+def template_of(labels: list[str]) -> str:
+    """The cluster of a page: the languages of markup that its structure is written in."""
+    held = {x.partition(":")[0] for x in labels}
+    return "+".join(k for k in KINDS if k in held)
+
+
+def parsed_kinds(wrapper: tuple, labels: list[str]) -> int | None:
+    """The kinds, as bits, of the wrapper's marks that the page is parsed by; None if the wrapper doesn't accept it."""
+    if not wrapper_rules.accepts(wrapper, labels):
+        return None
+    out = 0
+    for x in labels:
+        out |= _BIT.get(x.partition(":")[0], 0)
+    return out
 
 
 def _columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -344,24 +434,105 @@ def _sliced(batches):
             yield b.slice(at, 256)
 
 
-def found_kinds(df: DataFrame, id_col: str, text_col: str, leave_out: tuple[str, ...] = ()) -> DataFrame:
-    """``rec_id`` and ``kind``, distinct: each kind of markup that the record's field holds, but those left out.
+#: A host's streams are aligned in so many parts, then the parts: the result depends on the streams alone, not on how they are spread.
+PARTS = 16
 
-    Null, empty and plain texts give no row, redelivered records one row a kind. Texts are read whole
-    and never shuffled, only ids and kinds are. Null ids are kept as one record.
-    """
+
+def _streams(df: DataFrame, id_col: str | None, host_col: str, text_col: str) -> DataFrame:
+    """``rec_id``, ``host``, ``template``, ``stream`` and ``inside`` (the kinds of the marks in its slots, as bits) of each row."""
     ship(df.sparkSession)
+    id_type = df.schema[id_col].dataType.simpleString() if id_col else "int"
 
     def lex(batches):
         import pyarrow as pa
 
         for b in _sliced(batches):
-            held = [[k for k in kinds(t) if k not in leave_out] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.string()))], ["rec_id", "kinds"])
+            pages = [page_stream(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), b.column(1), pa.array([template_of(x) for x, _ in pages], pa.string()), pa.array([" ".join(x) for x, _ in pages], pa.string()),
+                pa.array([reduce(or_, m, 0) for _, m in pages], pa.int32())], ["rec_id", "host", "template", "stream", "inside"])
+
+    rows = df.select((F.col(f"`{id_col}`") if id_col else F.lit(0)).alias("rec_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(lex, f"rec_id {id_type}, host string, template string, stream string, inside int")
+
 
-    rows = _columns(df, id_col, text_col).where("length(text) > 0")
-    out = rows.mapInArrow(lex, f"rec_id {df.schema[id_col].dataType.simpleString()}, kinds array<string>")
-    return out.select("rec_id", F.explode("kinds").alias("kind")).distinct()
+def _wrappers(streams: DataFrame) -> DataFrame:
+    """``host``, ``template``, ``n_pages``, ``n_streams``, ``wrapper`` (JSON) of ``host, template, stream, n``, each stream once."""
+    keys = ["host", "template", "part"]
+    spread = streams.withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(PARTS)).cast("int")).repartition(*keys).sortWithinPartitions(*keys, "stream")
+    schema = "host string, template string, part int, n_pages bigint, n_streams bigint, wrapper string"
+
+    def align(batches):
+        import pyarrow as pa
+
+        held: list = []
+        names = [c.split()[0] for c in schema.split(", ")]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+
+        def ended(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+        for b in batches:
+            out = []
+            for host, template, text, n, part in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[:3] != [host, template, part]:
+                    out.append([*held[:5], wrapper_rules.dumps(held[5])])
+                    held = []
+                if not held:
+                    held = [host, template, part, 0, 0, None]
+                held[3:] = [held[3] + n, held[4] + 1, wrapper_rules.add(held[5], text)]
+            yield ended(out)
+        yield ended([[*held[:5], wrapper_rules.dumps(held[5])]] if held else [])
+
+    def merge(key, pdf):
+        import pandas as pd
+
+        w = wrapper_rules.infer(map(wrapper_rules.loads, pdf.sort_values("part").wrapper))
+        return pd.DataFrame({"host": [key[0]], "template": [key[1]], "n_pages": [pdf.n_pages.sum()], "n_streams": [pdf.n_streams.sum()], "wrapper": [wrapper_rules.dumps(w)]})
+
+    parts = spread.select("host", "template", "stream", "n", "part").mapInArrow(align, schema)
+    return parts.groupBy("host", "template").applyInPandas(merge, "host string, template string, n_pages bigint, n_streams bigint, wrapper string")
+
+
+#: Pages of one stream, such as plain text, are spread over so many tasks when they are joined with what their stream is parsed to.
+SALT = 16
+
+
+def found_kinds(df: DataFrame, id_col: str, text_col: str, host_col: str, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """``rec_id`` and ``kind``, distinct: each kind of markup that the record's field holds, but those left out.
+
+    The kinds of the marks that the wrapper of the page's host and template parses it by, and of the inline marks in the slots
+    that it leaves. Each stream is parsed once. Null, empty and plain texts give no row, redelivered records one row a kind. Texts
+    are read whole and never shuffled; streams of labels are, and are written once to the shared folder. Null ids are kept as one
+    record, a null host is a host. A page that its wrapper didn't accept would be one slot; there is none, as all are inferred from.
+    """
+    pages = checkpointed(_streams(df.where(F.length(f"`{text_col}`") > 0), id_col, host_col, text_col).where("stream != ''"))
+    streams = pages.groupBy("host", "template", "stream").agg(F.count(F.lit(1)).alias("n"))
+    on = [F.col("s.host").eqNullSafe(F.col("w.host")), F.col("s.template") == F.col("w.template")]
+    asked = streams.alias("s").join(_wrappers(streams).alias("w"), on).select("s.host", "s.template", "s.stream", "w.wrapper")
+
+    def parse(batches):
+        import pyarrow as pa
+
+        held: dict[str, tuple] = {}
+        for b in batches:
+            texts, found = b.column(2).to_pylist(), []
+            for text, w in zip(texts, b.column(3).to_pylist()):
+                if w not in held:
+                    held.clear()
+                    held[w] = wrapper_rules.loads(w)
+                labels = text.split()
+                bits = parsed_kinds(held[w], labels)
+                found.append(sum(_BIT[k] for k in template_of(labels).split("+") if k) if bits is None else bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.int32())], ["host", "template", "stream", "bits"])
+
+    parsed = asked.mapInArrow(parse, "host string, template string, stream string, bits int").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALT)).cast("int"))
+    on = [F.col("p.host").eqNullSafe(F.col("q.host")), *[F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("template", "stream", "salt")]]
+    both = salted.alias("p").join(parsed.alias("q"), on)
+    bits = F.col("q.bits").bitwiseOR(F.col("p.inside"))
+    named = F.filter(F.array(*[F.when(bits.bitwiseAND(_BIT[k]) > 0, F.lit(k)) for k in KINDS if k not in leave_out]), lambda x: x.isNotNull())
+    return both.select("p.rec_id", F.explode(named).alias("kind")).distinct()
 
 
 def cleaned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -381,41 +552,13 @@ def cleaned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def host_wrappers(df: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """A row per host: ``host``, ``n_pages``, ``n_streams`` (different token streams) and its ``wrapper``.
+    """A row per host and template: ``host``, ``template``, ``n_pages``, ``n_streams`` (different streams) and its ``wrapper``.
 
-    Streams are counted first, so pages made by one template meet once. Each task then infers wrappers
-    for the hosts it holds part of, and the partial wrappers, small and at most one per host and task, are
-    merged by host: no host, however large, gathers in one task. Null hosts form a host; pages without text
-    or markup have one stream.
+    Streams are counted first, so pages of one stream meet once. Those of a host and template are aligned in ``PARTS`` parts, in
+    order, each a task's fold that holds nothing but the wrapper, and then the parts: no host, however large, gathers in one
+    task, and neither the number of tasks nor the order of rows changes the result. Null hosts form a host; pages without text have an
+    empty stream.
     """
-    ship(df.sparkSession)
-
-    def to_streams(batches):
-        import pyarrow as pa
-
-        for b in _sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([stream(t) for t in b.column(1).to_pylist()], pa.string())], ["host", "stream"])
-
-    def partial(batches):
-        import pyarrow as pa
-
-        held: dict = {}
-        for b in batches:
-            for host, s, n in zip(*(b.column(i).to_pylist() for i in range(3))):
-                w, pages, streams = held.get(host, (None, 0, 0))
-                held[host] = (wrapper_rules.add(w, s), pages + n, streams + 1)
-        rows = list(held.items())
-        yield pa.RecordBatch.from_arrays([
-            pa.array([h for h, _ in rows], pa.string()), pa.array([wrapper_rules.dumps(v[0]) for _, v in rows], pa.string()),
-            pa.array([v[1] for _, v in rows], pa.int64()), pa.array([v[2] for _, v in rows], pa.int64())], ["host", "wrapper", "n_pages", "n_streams"])
-
-    def merge(key, pdf):
-        import pandas as pd
-
-        w = wrapper_rules.infer(wrapper_rules.loads(x) for x in sorted(pdf.wrapper))
-        return pd.DataFrame({"host": [key[0]], "n_pages": [pdf.n_pages.sum()], "n_streams": [pdf.n_streams.sum()], "wrapper": [wrapper_rules.show(w)]})
-
-    pages = df.select(F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("text"))
-    streams = pages.mapInArrow(to_streams, "host string, stream string").groupBy("host", "stream").agg(F.count(F.lit(1)).alias("n"))
-    parts = streams.mapInArrow(partial, "host string, wrapper string, n_pages bigint, n_streams bigint")
-    return parts.groupBy("host").applyInPandas(merge, "host string, n_pages bigint, n_streams bigint, wrapper string")
+    streams = _streams(df, None, host_col, text_col).groupBy("host", "template", "stream").agg(F.count(F.lit(1)).alias("n"))
+    show = F.udf(lambda w: wrapper_rules.show(wrapper_rules.loads(w)))
+    return _wrappers(streams).select("host", "template", "n_pages", "n_streams", show("wrapper").alias("wrapper"))

@@ -18,8 +18,8 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = markup.found_kinds(table(spark, d, "documents"), "doc_id", "text")
-    pairs = markup.found_kinds(table(spark, d, "structure_pair"), "pair_id", "target_content", leave_out=("markdown",))
+    docs = markup.found_kinds(table(spark, d, "documents"), "doc_id", "text", "source")
+    pairs = markup.found_kinds(table(spark, d, "structure_pair"), "pair_id", "target_content", "repo", leave_out=("markdown",))
     return docs.select(F.lit("documents").alias("tab"), "rec_id", "kind").unionByName(pairs.select(F.lit("structure_pair").alias("tab"), "rec_id", "kind"))
 
 

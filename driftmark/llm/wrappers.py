@@ -211,9 +211,9 @@ def infer(wrappers: Iterable[Wrapper]) -> Wrapper:
     return out or ()
 
 
-def accepts(wrapper: Wrapper, stream: str) -> bool:
+def accepts(wrapper: Wrapper, stream: str | list[str]) -> bool:
     """Whether the stream is in the language of the wrapper; all ways at once, without backtracking."""
-    labels = stream.split()
+    labels = stream.split() if isinstance(stream, str) else stream
     places: dict[str, int] = {}
     for i, x in enumerate(labels):
         places[x] = places.get(x, 0) | 1 << i

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftmark.llm import markup as M
 from driftmark.llm import queries as Q
@@ -86,12 +87,12 @@ def test_many_optionals_keep_their_order():
 
 def test_operators(spark, rows):
     df = spark.createDataFrame([(1, "<b>x</b>", "h"), (1, "<b>x</b>", "h"), (2, None, "h"), (3, "", None), (None, "# t", "g")], "id long, text string, kind string")
-    assert rows(M.found_kinds(df, "id", "text")) == sorted([(1, "html"), (None, "markdown")], key=repr)
-    assert rows(M.found_kinds(df, "id", "text", ("markdown",))) == [(1, "html")]
+    assert rows(M.found_kinds(df, "id", "text", "kind")) == sorted([(1, "html"), (None, "markdown")], key=repr)
+    assert rows(M.found_kinds(df, "id", "text", "kind", ("markdown",))) == [(1, "html")]
     assert M.cleaned(df, "id", "text").count() == 5
-    got = {r.host: (r.n_pages, r.n_streams) for r in M.host_wrappers(df, "kind", "text").collect()}
-    assert got == {"h": (3, 2), None: (1, 1), "g": (1, 1)}
-    for f in (lambda x: M.found_kinds(x, "id", "text"), lambda x: M.cleaned(x, "id", "text"), lambda x: M.host_wrappers(x, "kind", "text")):
+    got = {(r.host, r.template): (r.n_pages, r.n_streams) for r in M.host_wrappers(df, "kind", "text").collect()}
+    assert got == {("h", ""): (3, 2), (None, ""): (1, 1), ("g", "markdown"): (1, 1)}
+    for f in (lambda x: M.found_kinds(x, "id", "text", "kind"), lambda x: M.cleaned(x, "id", "text"), lambda x: M.host_wrappers(x, "kind", "text")):
         assert f(df.limit(0)).count() == 0
 
 
@@ -99,5 +100,33 @@ def test_wrappers_of_both_tables(spark, tmp_path):
     spark.createDataFrame([(1, "<b>x</b>", "h")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     pairs = [(1, "r", "old", 1), (1, "r", "# new", 2), (2, "r", "# x\n\n**y**", 1), (3, "h", None, 1), (4, None, "z", 1)]
     spark.createDataFrame(pairs, "pair_id long, repo string, target_content string, loaded_at int").write.parquet(f"{tmp_path}/structure_pair.parquet")
-    got = {(r.tab, r.host): (r.n_pages, r.n_streams) for r in Q.p2_wrappers(spark, str(tmp_path)).collect()}
-    assert got == {("documents", "h"): (1, 1), ("structure_pair", "r"): (2, 2), ("structure_pair", "h"): (1, 1), ("structure_pair", None): (1, 1)}
+    got = {(r.tab, r.host, r.template): (r.n_pages, r.n_streams) for r in Q.p2_wrappers(spark, str(tmp_path)).collect()}
+    assert got == {("documents", "h", ""): (1, 1), ("structure_pair", "r", "markdown"): (2, 1), ("structure_pair", "h", ""): (1, 1), ("structure_pair", None, ""): (1, 1)}
+
+
+@pytest.mark.parametrize("text, kinds", KINDS)
+def test_the_parse_and_the_slots_hold_every_kind(text, kinds):
+    labels, inside = M.page_stream(text)
+    bits = M.parsed_kinds(W.page(" ".join(labels)), labels)
+    assert bits is not None and len(labels) == len(inside)
+    for x in inside:
+        bits |= x
+    assert [k for k in M.KINDS if bits & M._BIT[k]] == kinds
+
+
+def test_wrappers_are_the_same_however_rows_are_spread(spark, rows):
+    rnd = random.Random(3)
+    marks = ["<h1>a</h1>", "<p>b</p>", "<ul>\n<li>c</li>\n</ul>", "# d\n", "> e\n", "plain <b>f</b>"]
+    data = [(i, "\n\n".join(rnd.choice(marks) for _ in range(rnd.randint(0, 6))), f"h{i % 2}") for i in range(200)]
+    df = spark.createDataFrame(data, "id long, text string, kind string")
+    one = rows(M.host_wrappers(df.coalesce(1), "kind", "text"))
+    assert one == rows(M.host_wrappers(df.orderBy(F.desc("id")).repartition(7), "kind", "text"))
+    want = sorted((i, k) for i, t, _ in data for k in M.kinds(t))
+    assert rows(M.found_kinds(df, "id", "text", "kind")) == sorted(want, key=repr)
+
+
+def test_nesting_to_any_depth_and_unclosed_marks():
+    assert M.clean("\\textbf{\\emph{" * 40 + "x" + "}}" * 40 + " y") == "x y"
+    for t in ("<pre>" * 20000, "<pre " * 20000, "\\begin{verbatim}" * 10000, "\\textbf{" * 20000, "<pre>x</style>" * 10000):
+        M.kinds(t)
+        M.clean(t)
