@@ -3,11 +3,12 @@
 Cross-lingual term vectors are learned by singular value decomposition of paired document terms:
 per pair of languages, the terms of both sides of a document, or of two sentences that share code names
 and numbers of their own, make one row of a term matrix. Its leading right singular vectors come from
-one pass over all rows with a fixed random sketch. Sentences are sums of term vectors; within a
-document, mutual neighbours by margin score are pairs, wherever they stand, and a sentence left over
-joins a pair if the merged window fits the other side better than its part alone.
+one pass over all rows with a fixed random sketch. Sentences are sums of term vectors; within a document, mutual neighbours by margin score are pairs, wherever they stand, and a sentence left over
+joins a pair if the merged window of two fits the other side better than its part alone. Names, code and numbers, have no
+part in the score: they are an exact check on what the vectors propose. Nor does what all sentences share tell anything: a pair is closer
+than either is to the mean of all.
 
-What is sent to the driver and back has a fixed bound: BUCKETS rows per pair of languages.
+What is sent to the driver and back has a fixed bound: BUCKETS rows for each pair of LANGUAGES.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,24 +46,32 @@ for _lang, _ws in _FUNCTION_WORDS.items():
         _OF_WORD.setdefault(_w, []).append(_lang)
 
 
+#: Languages that have a model of their own with each other; all others are one, so the number of models is bounded.
+LANGUAGES = frozenset("ar de en es fr hi it ja ko pt ru zh".split())
+
+
 @dataclass(frozen=True)
 class Thresholds:
-    """Least cosines of pairs: with equal names, without any, with names in part in common; and for merged windows, with the least gain over one part."""
+    """Least cosines of pairs: with equal names, without any, with names in part in common (with none in common there is no pair); and for
+    merged windows, with the least gain over one part. above: how much closer a pair is than either of it to the mean of all. block: sentence
+    pairs that are held at once."""
 
     named: float = 0.35
     plain: float = 0.72
     partly: float = 0.45
     window: float = 0.72
+    above: float = 0.02
     gain: float = 0.02
     neighbours: int = 4
-    name_weight: float = 0.5
     order_weight: float = 0.02
+    block: int = 1 << 22
 
 
 def language(lang: str | None, found: list[str]) -> str:
-    """Two-letter language: the given one without region, else by script and function words; '' if nothing tells."""
+    """Two-letter language, one of LANGUAGES: the given one without region, else by script and function words; '' if nothing tells."""
     if lang and lang.strip():
-        return re.split(r"[-_]", lang.strip().lower())[0]
+        given = re.split(r"[-_]", lang.strip().lower())[0]
+        return given if given in LANGUAGES else ""
     votes: Counter[str] = Counter()
     for w in sentences.tokens(found):
         if "一" <= w[0] <= "鿿":
@@ -71,26 +81,29 @@ def language(lang: str | None, found: list[str]) -> str:
     return min(votes, key=lambda k: (-votes[k], k)) if votes else ""
 
 
+#: Added to the hashes of names, to tell them from terms.
+_NAME = 1 << 32
+
+
 def _hashed(found: list[str], memo: dict) -> list[tuple[list[int], list[int]]]:
     """(terms, names) of each sentence as hashes. memo: of tokens, begun anew when full."""
-    out = []
-    words: list[int] = []
-    names: list[int] = []
-    for token in sentences.tokens(found):
-        held = memo.get(token)
-        if held is None:
-            if token == sentences.BETWEEN:
-                out.append((words, sorted(set(names)) if names else names))
-                words, names = [], []
-                continue
-            if len(memo) > 300_000:
-                memo.clear()
-            name, terms = sentences.terms_of(token)
-            held = memo[token] = name, [zlib.crc32(x.encode()) % ((1 << 31) if name else BUCKETS) for x in terms]
-        if held[0]:
-            names += held[1]
-        else:
-            words += held[1]
+    tokens = sentences.tokens(found)
+    if len(memo) > 300_000:
+        memo.clear()
+    for token in set(tokens).difference(memo):
+        name, terms = sentences.terms_of(token)
+        memo[token] = [zlib.crc32(x.encode()) % (1 << 31) + _NAME for x in terms] if name else [zlib.crc32(x.encode()) % BUCKETS for x in terms]
+    values = list(map(memo.__getitem__, tokens))
+    out, at = [], 0
+    for _ in found:
+        end = tokens.index(sentences.BETWEEN, at)
+        words = list(chain.from_iterable(values[at:end]))
+        names: list[int] = []
+        if words and max(words) >= _NAME:
+            names = sorted({x - _NAME for x in words if x >= _NAME})
+            words = [x for x in words if x < _NAME]
+        out.append((words, names))
+        at = end + 1
     return out
 
 
@@ -261,11 +274,12 @@ def vectors_of(y: np.ndarray, omega: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (u[:, :k] * np.sqrt(s[:k]) * idf[:, None]).astype(np.float32)
 
 
-Model = dict[str, tuple[np.ndarray, np.ndarray]]
+#: Per pair of languages: buckets in order, their vectors, the mean of all.
+Model = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _sketched(docs: DataFrame, entries, weights: dict[str, np.ndarray]) -> Model:
-    """Term vectors from one pass; ``entries`` makes (langs, row, term, count) of batches."""
+def _sketched(docs: DataFrame, entries, weights: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Buckets and their vectors from one pass; ``entries`` makes (langs, row, term, count) of batches."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers a pair of languages
 
     def sketch(batches):
@@ -319,67 +333,126 @@ def _slices(batches, size: int):
             yield big.slice(at, size)
 
 
+def with_mean(vectors: dict[str, tuple[np.ndarray, np.ndarray]], frequencies: dict[str, tuple[int, np.ndarray]]) -> Model:
+    """Adds the direction of the mean of all rows."""
+    out = {}
+    for langs, (ids, v) in vectors.items():
+        mean = (frequencies[langs][1][ids].astype(np.float64)[:, None] * v).sum(0)
+        out[langs] = ids, v, (mean / max(np.sqrt((mean * mean).sum()), 1e-9)).astype(np.float32)
+    return out
+
+
 def learn(docs: DataFrame) -> Model:
-    """Per pair of languages (buckets in order, their vectors), from all rows of all documents."""
+    """The model of each pair of languages, from all rows of all documents."""
 
     def entries(batches):
         for b in _slices(batches, 200):
             yield from _matrix(b)
 
-    return _sketched(docs.select("langs", "rows", "row_size"), entries, _weights(_frequencies(docs)))
+    frequencies = _frequencies(docs)
+    return with_mean(_sketched(docs.select("langs", "rows", "row_size"), entries, _weights(frequencies)), frequencies)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
 
 
-def _margin(score: np.ndarray, k: int) -> np.ndarray:
-    """2 s(i, j) less the mean of the k best scores of i and of j."""
-    n, m = score.shape
+def _best_mean(x: np.ndarray, k: int) -> np.ndarray:
+    """Mean of the k greatest of each row."""
+    size = x.shape[1]
+    return x.mean(axis=1) if size <= k else np.partition(x, size - k, axis=1)[:, size - k:].sum(axis=1) / k
 
-    def mean(x: np.ndarray, k: int, axis: int) -> np.ndarray:
-        size = x.shape[axis]
-        if size <= k:
-            return x.mean(axis=axis, keepdims=True)
-        return np.partition(x, size - k, axis=axis).take(range(size - k, size), axis=axis).mean(axis=axis, keepdims=True)
 
-    return 2 * score - mean(score, min(k, m), 1) - mean(score, min(k, n), 0)
+class _Scores:
+    """Margin scores of the sentences of two texts, block of rows by block of rows: as many as ``Thresholds.block`` are in memory at once.
 
+    Texts that fit into one block, nearly all, are scored once; of longer ones the blocks are made again for each round.
+    """
 
-def align_document(va: np.ndarray, vb: np.ndarray, na: list[frozenset], nb: list[frozenset], t: Thresholds = Thresholds()) -> list[tuple[int, int]]:
-    """Index pairs of sentences that translate one another. va, vb: sums of term vectors; na, nb: names."""
+    def __init__(self, ua: np.ndarray, ub: np.ndarray, na: list[frozenset], nb: list[frozenset], mean: np.ndarray, t: Thresholds):
+        self.ua, self.ub, self.na, self.t = ua, ub, na, t
+        self.n, self.m = len(ua), len(ub)
+        self.step = max(1, t.block // max(1, self.m))
+        self.holders: dict[int, list[int]] = {}
+        for j, names in enumerate(nb):
+            for x in names:
+                self.holders.setdefault(x, []).append(j)
+        self.size_b = np.array([len(x) for x in nb], np.float32)
+        self.held: np.ndarray | None = None
+        self.ground_a, self.ground_b = ua @ mean + t.above, ub @ mean + t.above
+        # The means of the best of each row and column, for the margin.
+        k = t.neighbours
+        rows, best = [], None
+        for lo in range(0, self.n, self.step):
+            cos = ua[lo:lo + self.step] @ ub.T
+            rows.append(_best_mean(cos, min(k, self.m)))
+            top = cos.T if best is None else np.concatenate([best, cos.T], axis=1)
+            best = np.partition(top, top.shape[1] - k, axis=1)[:, -k:] if top.shape[1] > k else top
+        self.mean_a, self.mean_b = np.concatenate(rows), best.mean(axis=1)
+
+    def block(self, lo: int) -> np.ndarray:
+        """Scores of the rows from lo on; -9 where the cosine is too low for what the names of both say."""
+        if self.held is not None:
+            return self.held
+        t, ua = self.t, self.ua[lo:lo + self.step]
+        cos = ua @ self.ub.T
+        common = np.zeros(cos.shape, np.float32)
+        size_a = np.zeros(len(ua), np.float32)
+        for i, names in enumerate(self.na[lo:lo + self.step]):
+            size_a[i] = len(names)
+            for x in names:
+                for j in self.holders.get(x, ()):
+                    common[i, j] += 1
+        union = size_a[:, None] + self.size_b[None, :] - common
+        least = np.where(union == 0, t.plain, np.where(common == union, t.named, np.where(common > 0, t.partly, 2.0)))
+        place = np.abs((np.arange(lo, lo + len(ua)) / self.n)[:, None] - (np.arange(self.m) / self.m)[None, :])
+        rank = 2 * cos - self.mean_a[lo:lo + self.step, None] - self.mean_b[None, :] - t.order_weight * place
+        rank[cos < np.maximum(least, np.maximum(self.ground_a[lo:lo + self.step, None], self.ground_b[None, :]))] = -9.0
+        if self.step >= self.n:
+            self.held = rank
+        return rank
+
+    def neighbours(self, free_a: np.ndarray, free_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of the mutual best among the free; in ties the first."""
+        best_a, at_a = np.full(self.n, -9.0), np.zeros(self.n, np.intp)
+        best_b, at_b = np.full(self.m, -9.0), np.zeros(self.m, np.intp)
+        every = np.arange(self.m)
+        for lo in range(0, self.n, self.step):
+            rank = self.block(lo)
+            hi = lo + len(rank)
+            if self.held is None:
+                rank[~free_a[lo:hi], :] = -9.0
+                rank[:, ~free_b] = -9.0
+            at_a[lo:hi] = rank.argmax(1)
+            best_a[lo:hi] = rank[np.arange(hi - lo), at_a[lo:hi]]
+            top = rank.argmax(0)
+            value = rank[top, every]
+            better = value > best_b
+            at_b[better], best_b[better] = top[better] + lo, value[better]
+        rows = np.flatnonzero((best_a > -8) & (at_b[at_a] == np.arange(self.n)) & (best_b[at_a] > -8))
+        return rows, at_a[rows]
+
+    def take(self, rows: np.ndarray, cols: np.ndarray) -> None:
+        if self.held is not None:
+            self.held[rows, :] = -9.0
+            self.held[:, cols] = -9.0
+
+
+def align_document(va: np.ndarray, vb: np.ndarray, na: list[frozenset], nb: list[frozenset], t: Thresholds = Thresholds(),
+                   mean: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs of sentences that translate one another. va, vb: sums of term vectors; na, nb: names; mean: the direction of all sentences' mean, if there is a corpus."""
     n, m = len(va), len(vb)
     ua, ub = _unit(va), _unit(vb)
-    cos = ua @ ub.T
-    holders: dict[int, list[int]] = {}
-    for j, names in enumerate(nb):
-        for x in names:
-            holders.setdefault(x, []).append(j)
-    common = np.zeros((n, m), np.float32)
-    for i, names in enumerate(na):
-        for x in names:
-            for j in holders.get(x, ()):
-                common[i, j] += 1
-    union = np.array([len(x) for x in na], np.float32)[:, None] + np.array([len(x) for x in nb], np.float32)[None, :] - common
-    plain = union == 0
-    jaccard = (common + plain) / (union + plain)
-    least = np.where(plain, t.plain, np.where(jaccard == 1, t.named, np.where(common > 0, t.partly, 2.0)))
-    rank = _margin(cos + t.name_weight * jaccard, t.neighbours)
-    rank -= t.order_weight * np.abs(np.linspace(0, 1, n, endpoint=False)[:, None] - np.linspace(0, 1, m, endpoint=False)[None, :])
-    rank[cos < least] = -9.0
+    scores = _Scores(ua, ub, na, nb, np.zeros(va.shape[1], np.float32) if mean is None else mean, t)
     found: list[tuple[int, int]] = []
     free_a, free_b = np.ones(n, bool), np.ones(m, bool)
-    every = np.arange(n)
     while True:
-        best_b = rank.argmax(1)
-        rows = np.flatnonzero((rank.argmax(0)[best_b] == every) & (rank[every, best_b] > -8))
+        rows, cols = scores.neighbours(free_a, free_b)
         if not len(rows):
             break
-        cols = best_b[rows]
         found += zip(rows.tolist(), cols.tolist())
         free_a[rows] = free_b[cols] = False
-        rank[rows, :] = -9.0
-        rank[:, cols] = -9.0
+        scores.take(rows, cols)
     if found and free_a.any():
         found += [(i, j) for j, i in _joins(ub, va, nb, na, [(j, i) for i, j in found], free_a, t)]
     if found and free_b.any():
@@ -401,17 +474,23 @@ def _joins(ua: np.ndarray, vb: np.ndarray, na: list, nb: list, found: list[tuple
     if not single:
         return []
     i_of, j_of = (np.array(x) for x in zip(*single))
-    unit, other, new = ua[i_of], vb[j_of], vb[left]
-    with_other = np.einsum("ij,ij->i", unit, other)
-    size = np.einsum("ij,ij->i", other, other)
-    alone = with_other / np.maximum(np.sqrt(size), 1e-9)
-    length = size[:, None] + 2 * (other @ new.T) + np.einsum("ij,ij->i", new, new)[None, :]
-    merged = (with_other[:, None] + unit @ new.T) / np.sqrt(np.maximum(length, 1e-12))
-    gain = merged - alone[:, None]
+    new = vb[left]
+    length_new = np.einsum("ij,ij->i", new, new)
+    hits = []
+    step = max(1, t.block // len(left))
+    for lo in range(0, len(single), step):
+        unit, other = ua[i_of[lo:lo + step]], vb[j_of[lo:lo + step]]
+        with_other = np.einsum("ij,ij->i", unit, other)
+        size = np.einsum("ij,ij->i", other, other)
+        length = size[:, None] + 2 * (other @ new.T) + length_new[None, :]
+        merged = (with_other[:, None] + unit @ new.T) / np.sqrt(np.maximum(length, 1e-12))
+        gain = merged - (with_other / np.maximum(np.sqrt(size), 1e-9))[:, None]
+        p, q = np.nonzero((merged >= t.window) & (gain >= t.gain))
+        hits.append((gain[p, q], p + lo, q))
+    gains, p, q = (np.concatenate(x) for x in zip(*hits))
     out: list[tuple[int, int]] = []
     taken: set[int] = set()
-    p, q = np.nonzero((merged >= t.window) & (gain >= t.gain))
-    for x in np.argsort(-gain[p, q], kind="stable"):
+    for x in np.argsort(-gains, kind="stable"):
         i, k, j = int(i_of[p[x]]), int(j_of[p[x]]), int(left[q[x]])
         if i not in taken and free[j] and nb[j] <= na[i] <= nb[j] | nb[k]:
             out.append((i, j))
@@ -455,12 +534,12 @@ class _Aligner:
     """Aligns slices of prepared documents; term vectors of all their sentences are summed at once."""
 
     def __init__(self, model: Model):
-        width = max((v.shape[1] for _, v in model.values()), default=1)
-        self.places, stacked, n = {}, [np.zeros((1, width), np.float32)], 1
-        for langs, (ids, vectors) in model.items():
+        width = max((v.shape[1] for _, v, _ in model.values()), default=1)
+        self.places, self.means, stacked, n = {}, {}, [np.zeros((1, width), np.float32)], 1
+        for langs, (ids, vectors, mean) in model.items():
             at = np.zeros(1 << 16, np.int32)  # 0 is no vector: unknown buckets and _STOP
             at[ids] = np.arange(n, n + len(ids), dtype=np.int32)
-            self.places[langs] = at
+            self.places[langs], self.means[langs] = at, np.pad(mean, (0, width - len(mean)))
             stacked.append(np.pad(vectors, ((0, 0), (0, width - vectors.shape[1]))))
             n += len(ids)
         self.vectors = np.concatenate(stacked)
@@ -480,7 +559,7 @@ class _Aligner:
         lo = 0
         for k, r in enumerate(rows):
             n, m = len(sizes[2 * k]), len(sizes[2 * k + 1])
-            yield r, align_document(sums[lo:lo + n], sums[lo + n:lo + n + m], _names(r[6], r[7]), _names(r[11], r[12]), t)
+            yield r, align_document(sums[lo:lo + n], sums[lo + n:lo + n + m], _names(r[6], r[7]), _names(r[11], r[12]), t, self.means[r[2]])
             lo += n + m
 
 

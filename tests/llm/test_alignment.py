@@ -123,3 +123,34 @@ def test_a_short_distant_part_completes_a_window():
     y = 0.3 * np.array([0.24, second, (1 - 0.24 ** 2 - second ** 2) ** 0.5])
     none = frozenset()
     assert A.align_document(a, np.array([x, y], np.float32), [none], [none, none]) == [(0, 0), (0, 1)]
+
+
+def test_vectors_that_tell_nothing_pair_nothing():
+    v, names = np.ones((6, 4), np.float32), [frozenset([k]) for k in range(6)]
+    assert A.align_document(v, v, names, names, mean=np.full(4, 0.5, np.float32)) == []
+
+
+def test_blocks_give_what_one_block_gives():
+    rnd = np.random.default_rng(4)
+    a = rnd.standard_normal((60, 12)).astype(np.float32)
+    b = np.concatenate([a[rnd.permutation(60)] + 0.3 * rnd.standard_normal((60, 12)).astype(np.float32), a[:5]])
+    na, nb = [frozenset([k % 3]) if k % 4 == 0 else frozenset() for k in range(60)], [frozenset()] * 65
+    whole = A.align_document(a, b, na, nb)
+    assert whole and sorted(whole) == sorted(A.align_document(a, b, na, nb, A.Thresholds(block=200)))
+
+
+def test_vectors_carry_the_result_without_names(spark, monkeypatch):
+    docs, truth = made_up(5, 400, merges=False)
+    monkeypatch.setattr(A, "_names", lambda flat, counts: [frozenset()] * (len(counts) // 4))
+    memo: dict = {}
+    prepared = [(d[0], d[1], *A.prepare_one(d[3], d[4], d[5], d[6], False, memo)) for d in docs if d[4]]
+    model = A.learn(spark.createDataFrame([(r[2], bytes(r[13]), bytes(r[14])) for r in prepared], "langs string, rows binary, row_size binary"))
+    got = set()
+    for r, pairs in A._Aligner(model)(prepared, A.Thresholds()):
+        a, b = np.frombuffer(r[3], np.int32), np.frombuffer(r[8], np.int32)
+        got |= {(r[1], int(a[i]), int(b[j])) for i, j in pairs}
+    assert len(got & truth) / len(truth) > 0.9 and len(got & truth) / len(got) > 0.9
+
+
+def test_unknown_languages_share_one_model():
+    assert A.language("xx-YY", []) == A.language("tlh", []) == ""
