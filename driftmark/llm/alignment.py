@@ -247,7 +247,7 @@ def _weights(frequencies: dict[str, tuple[int, np.ndarray]]) -> dict[str, np.nda
     return {k: np.log1p(n / np.maximum(f, 1)).astype(np.float32) for k, (n, f) in frequencies.items()}
 
 
-def _products(row: np.ndarray, n: int, term: np.ndarray, weight: np.ndarray, table: np.ndarray, block: int = 1 << 22):
+def _products(row: np.ndarray, n: int, term: np.ndarray, weight: np.ndarray, table: np.ndarray, block: int = 1 << 18):
     """Blocks (first row, X, terms) of the matrix X of n rows with these entries, and X times the rows of ``table`` for its terms.
 
     Only the columns that occur are held, ``block`` numbers at once; a product of dense blocks is faster than a sum over gathered rows.
