@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftmark.functions.markdown import is_verbatim
+
 BEFORE, OWN, AFTER = 0, 1, 2
 
 
@@ -32,12 +34,11 @@ def apply_edits(lines: DataFrame, edits: DataFrame, keys: list[str]) -> DataFram
 
 
 def reconcile_plan(base: DataFrame, head: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
-    """A ``decision`` per head block: ``reuse`` the translation of the base block of equal text, keep ``verbatim`` what has no words, or ``translate``; ``run`` numbers stretches of equal decisions."""
+    """A ``decision`` per head block: ``reuse`` the translation of the base block of equal text, keep ``verbatim`` what has nothing to translate, or ``translate``; ``run`` numbers stretches of equal decisions."""
     from driftmark.operators.matching import multiset_positions
 
     m = multiset_positions(head, base, keys, value, pos)
-    plain = ~F.col(value).rlike(r"[\p{L}]") | F.col(value).rlike(r"^\s*(?:`{3,}|~{3,})")
-    m = m.withColumn("decision", F.when(plain, "verbatim").when(F.col("right_pos").isNotNull(), "reuse").otherwise("translate"))
+    m = m.withColumn("decision", F.when(is_verbatim(F.col(value)), "verbatim").when(F.col("right_pos").isNotNull(), "reuse").otherwise("translate"))
     w = W.partitionBy(*keys).orderBy("left_pos")
     m = m.withColumn("begins", (~F.lag("decision").over(w).eqNullSafe(F.col("decision"))).cast("int"))
     return m.select(*keys, F.col("left_pos").alias("block_no"), "decision", F.col("right_pos").alias("base_block_no"), F.sum("begins").over(w).alias("run"))

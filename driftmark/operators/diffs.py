@@ -14,27 +14,30 @@ _HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
 def operations(diffs: DataFrame, keys: list[str], patch: str) -> DataFrame:
-    """A row per line of every hunk: ``diff_index``, ``hunk``, ``op`` (added, deleted, context), ``old_line``, ``new_line``, ``content``, ``is_header``.
+    """A row per line of every hunk: ``diff_index``, ``hunk``, ``op`` (added, deleted, context), ``old_line``, ``new_line``, ``head_line``, ``content``, ``is_header``.
 
-    ``old_line`` of an added line and ``new_line`` of a deleted one are null. File headers and the note on a
-    missing last line end are no lines. Null patches have none.
+    ``old_line`` of an added line and ``new_line`` of a deleted one are null; ``head_line`` is where a line is in the new text, for a
+    deleted one the line that is there now. What precedes the first hunk and the note on a missing last line end are no lines; within a
+    hunk every line is one, also a deleted ``-- x``. Null patches have none. For patches of many files cut them apart first.
     """
     w = W.partitionBy(*keys).orderBy("diff_index")
     rows = diffs.where(F.col(patch).isNotNull()).select(*keys, F.posexplode(F.split(F.regexp_replace(F.col(patch), r"\r\n|\r", "\n"), "\n", -1)).alias("diff_index", "raw"))
     rows = rows.withColumn("is_hunk", F.col("raw").rlike(_HUNK).cast("int")).withColumn("hunk", F.sum("is_hunk").over(w))
     sign = F.substring("raw", 1, 1)
     body = rows.where("hunk > 0").withColumn("sign", F.when(F.col("is_hunk") == 1, "@").otherwise(sign))
-    body = body.where(F.col("sign").isin("@", "+", "-", " ") & ~F.col("raw").rlike(r"^(?:\+\+\+|---) "))
+    body = body.where(F.col("sign").isin("@", "+", "-", " "))
     h = W.partitionBy(*keys, "hunk").orderBy("diff_index")
 
     def number(group: int, own: str) -> Column:
         start = F.first(F.regexp_extract("raw", _HUNK, group)).over(h).cast("int")
         return F.when(F.col("sign").isin(own, " "), start + F.sum(F.col("sign").isin(own, " ").cast("int")).over(h) - 1).cast("int")
 
-    body = body.withColumn("old_line", number(1, "-")).withColumn("new_line", number(2, "+")).where("sign != '@'")
+    before = F.first(F.regexp_extract("raw", _HUNK, 2)).over(h).cast("int") + F.sum(F.col("sign").isin("+", " ").cast("int")).over(h)
+    head = (before - F.col("sign").isin("+", " ").cast("int")).cast("int")
+    body = body.withColumn("old_line", number(1, "-")).withColumn("new_line", number(2, "+")).withColumn("head_line", head).where("sign != '@'")
     content = F.substring("raw", F.lit(2), F.length("raw"))
     op = F.when(F.col("sign") == "+", "added").when(F.col("sign") == "-", "deleted").otherwise("context")
-    return body.select(*keys, "diff_index", "hunk", op.alias("op"), "old_line", "new_line", content.alias("content"), content.rlike(r"^#{1,10}\s+\S").alias("is_header"))
+    return body.select(*keys, "diff_index", "hunk", op.alias("op"), "old_line", "new_line", "head_line", content.alias("content"), content.rlike(r"^#{1,10}\s+\S").alias("is_header"))
 
 
 def line_counts(ops: DataFrame, keys: list[str]) -> DataFrame:

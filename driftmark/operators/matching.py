@@ -83,13 +83,26 @@ def multiset_overlap(left: DataFrame, right: DataFrame, keys: list[str], value:
 def terms_in_text(texts: DataFrame, text: str, terms: list[tuple], case_insensitive: bool) -> DataFrame:
     """Texts with ``matched``: the terms they contain, longest first, at most one per lower-cased term.
 
-    The terms are a literal array in the plan, so the texts are scanned once and nothing is joined. Their number must be bounded.
+    One automaton of all terms runs over each text once, whatever their number; it is built once a task and nothing is
+    joined. Terms come from a glossary, whose size doesn't grow with the texts. Null texts match none.
     """
-    if len(terms) > 10_000:
-        raise ValueError("more than 10,000 terms: a literal array doesn't fit")
     ordered = sorted({t.lower(): t for t in sorted(x for x, in terms) if len(t) >= 2}.values(), key=lambda t: (-len(t), t.lower()))
     if not ordered:
         return texts.withColumn("matched", F.array().cast("array<string>"))
     hay = F.lower(F.col(text)) if case_insensitive else F.col(text)
-    literal = F.array(*[F.lit(t) for t in ordered])
-    return texts.withColumn("matched", F.filter(literal, lambda t: F.contains(hay, F.lower(t) if case_insensitive else t)))
+    rows = texts.withColumn("__hay", hay)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
+
+    def match(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for k, t in enumerate(ordered):
+            automaton.add_word(t.lower() if case_insensitive else t, k)
+        automaton.make_automaton()
+        for b in batches:
+            found = [[ordered[k] for k in sorted({k for _, k in automaton.iter(t)})] if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.string()))], [*b.schema.names[:-1], "matched"])
+
+    return rows.mapInArrow(match, f"{fields}, matched array<string>")

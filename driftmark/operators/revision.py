@@ -127,7 +127,7 @@ def call_external(rows: DataFrame, text: str, function: Callable[[str], str] | N
             try:
                 out.append((call(t), "success", None))
             except Exception as e:  # noqa: BLE001
-                out.append((None, "failed", f"{type(e).__name__}: {e}"[:200]))
+                out.append((None, "failed", f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["reply", "status", "reason"])
 
     return rows.withColumn("__x", run(F.col(text))).select(*rows.columns, "__x.reply", "__x.status", "__x.reason")

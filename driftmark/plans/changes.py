@@ -126,13 +126,13 @@ def operation_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def apply_order(spark: SparkSession, d: str) -> DataFrame:
-    return R.apply_order(_apply(spark, d), ["repo"])
+    return R.apply_order(_apply(spark, d), ["repo", "path"])
 
 
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Updates of one repository packed in order into chunks of at most 8 sections and 4,000 characters."""
-    rows = _apply(spark, d).select("repo", "apply_id", (F.coalesce(F.length("source_new_content"), F.lit(0)) + F.coalesce(F.length("source_old_content"), F.lit(0))).alias("chars"))
-    return R.greedy_chunks(rows, ["repo"], "apply_id", "chars", 8, 4000)
+    """Updates of one file packed in order into chunks of at most 8 sections and 4,000 characters."""
+    rows = _apply(spark, d).select("repo", "path", "apply_id", (F.coalesce(F.length("source_new_content"), F.lit(0)) + F.coalesce(F.length("source_old_content"), F.lit(0))).alias("chars"))
+    return R.greedy_chunks(rows, ["repo", "path"], "apply_id", "chars", 8, 4000)
 
 
 def mapping_problems(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +188,7 @@ def parent_match(spark: SparkSession, d: str) -> DataFrame:
 
 def glossary_match(spark: SparkSession, d: str) -> DataFrame:
     """English source pages with the agreed terms they hold, longest first."""
-    rows = [(r.en,) for r in table(spark, d, "glossary").where("en IS NOT NULL").select(F.trim("en").alias("en")).distinct().limit(10_001).collect()]
+    rows = [(r.en,) for r in table(spark, d, "glossary").where("en IS NOT NULL").select(F.trim("en").alias("en")).distinct().collect()]
     docs = latest_by(table(spark, d, "structure_pair"), ["pair_id"], "loaded_at", ["source_content", "source_lang"]).where("source_lang = 'en' AND source_content IS NOT NULL")
     found = J.terms_in_text(docs, "source_content", rows, case_insensitive=True)
     return found.select("pair_id", F.explode("matched").alias("term")).select("pair_id", F.lower("term").alias("term"))
@@ -244,10 +244,10 @@ _OPS = _D + r"""pl AS (SELECT diff_id, unnest(range(len(a)))::INT AS diff_index,
   SELECT diff_id, string_split(replace(replace(patch, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS a FROM df WHERE patch IS NOT NULL)),
 hk AS (SELECT *, sum(h::INT) OVER (PARTITION BY diff_id ORDER BY diff_index) AS hunk FROM (SELECT *, regexp_matches(raw, '^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@') AS h FROM pl)),
 hs AS (SELECT diff_id, hunk, regexp_extract(raw, '^@@ -(\d+)', 1)::INT AS o, regexp_extract(raw, '^@@ -\d+(?:,\d+)? \+(\d+)', 1)::INT AS n FROM hk WHERE h),
-bd AS (SELECT hk.*, raw[1] AS sign, hs.o, hs.n FROM hk JOIN hs USING (diff_id, hunk) WHERE NOT h AND raw[1] IN ('+', '-', ' ') AND NOT regexp_matches(raw, '^(\+\+\+|---) ')),
+bd AS (SELECT hk.*, raw[1] AS sign, hs.o, hs.n FROM hk JOIN hs USING (diff_id, hunk) WHERE NOT h AND raw[1] IN ('+', '-', ' ')),
 ops AS (SELECT diff_id, diff_index, hunk, CASE sign WHEN '+' THEN 'added' WHEN '-' THEN 'deleted' ELSE 'context' END AS op,
   CASE WHEN sign IN ('-', ' ') THEN (o + sum((sign IN ('-', ' '))::INT) OVER w - 1)::INT END AS old_line, CASE WHEN sign IN ('+', ' ') THEN (n + sum((sign IN ('+', ' '))::INT) OVER w - 1)::INT END AS new_line,
-  raw[2:] AS content, regexp_matches(raw[2:], '^#{1,10}\s+\S') AS is_header FROM bd WINDOW w AS (PARTITION BY diff_id, hunk ORDER BY diff_index))
+  (n + sum((sign IN ('+', ' '))::INT) OVER w - (sign IN ('+', ' '))::INT)::INT AS head_line, raw[2:] AS content, regexp_matches(raw[2:], '^#{1,10}\s+\S') AS is_header FROM bd WINDOW w AS (PARTITION BY diff_id, hunk ORDER BY diff_index))
 """
 _SIDES = _OPS + r""", sides AS (SELECT diff_id, 'base' AS ref, old_line AS line_no, content AS text, op <> 'context' AS changed, length(regexp_extract(content, '^(#{1,10})\s+\S', 1)) AS level FROM ops WHERE op <> 'added'
   UNION ALL SELECT diff_id, 'head', new_line, content, op <> 'context', length(regexp_extract(content, '^(#{1,10})\s+\S', 1)) FROM ops WHERE op <> 'deleted')
@@ -255,8 +255,7 @@ _SIDES = _OPS + r""", sides AS (SELECT diff_id, 'base' AS ref, old_line AS line_
 
 
 def _title(x: str) -> str:
-    return (rf"regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '<span[^>]*>.*?</span>', '', 'g'), '\s*\{{#[^}}]+\}}\s*$', ''), '^\s+|\s+$', '', 'g'), "
-            r"'^#{1,6}\s*', ''), '`', ''), '^\s+|\s+$', '', 'g')")
+    return f"regexp_replace(regexp_replace(coalesce({x}, ''), '{M.TITLE_MARKS}', '', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
 _RANGES = """, rg AS (SELECT diff_id, range_no, min(new_line) AS first_line, max(new_line) AS last_line, count(*) AS n FROM (
@@ -311,13 +310,13 @@ SQL = {
       WHEN trim(p.status, ' ') IS DISTINCT FROM trim(r.status, ' ') THEN 'modified' END AS change FROM p FULL JOIN r ON p.run_id = r.run_id AND p.path = r.path) SELECT * FROM k WHERE change IS NOT NULL""",
     "duplicate_sections": _A + "SELECT repo, section_key, count(*) AS n, min(apply_id) AS first_id FROM ap GROUP BY ALL HAVING count(*) > 1",
     "operation_counts": _A + "SELECT source_operation, count(*) AS n, count(DISTINCT path) AS n_paths, sum(length(source_new_content))::BIGINT AS chars FROM ap GROUP BY source_operation",
-    "apply_order": _A + "SELECT repo, apply_id, target_line, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN target_line = -1 THEN 2 ELSE 1 END NULLS FIRST, CASE WHEN target_line <> -1 THEN -target_line END NULLS FIRST, apply_id) AS rank FROM ap",
-    "section_chunks": _A + """, v AS (SELECT repo, list({'p': apply_id, 's': (coalesce(length(source_new_content), 0) + coalesce(length(source_old_content), 0))::BIGINT} ORDER BY apply_id) AS v FROM ap GROUP BY repo),
-      f AS (SELECT repo, list_reduce(list_transform(v, lambda x: {'no': 0::BIGINT, 'n': 0::BIGINT, 's': x.s, 'p': x.p, 'o': []::STRUCT(p BIGINT, s BIGINT, c BIGINT)[]}), lambda a, x: CASE
+    "apply_order": _A + "SELECT repo, path, apply_id, target_line, row_number() OVER (PARTITION BY repo, path ORDER BY CASE WHEN target_line = -1 THEN 2 ELSE 1 END NULLS FIRST, CASE WHEN target_line <> -1 THEN -target_line END NULLS FIRST, apply_id) AS rank FROM ap",
+    "section_chunks": _A + """, v AS (SELECT repo, path, list({'p': apply_id, 's': (coalesce(length(source_new_content), 0) + coalesce(length(source_old_content), 0))::BIGINT} ORDER BY apply_id) AS v FROM ap GROUP BY repo, path),
+      f AS (SELECT repo, path, list_reduce(list_transform(v, lambda x: {'no': 0::BIGINT, 'n': 0::BIGINT, 's': x.s, 'p': x.p, 'o': []::STRUCT(p BIGINT, s BIGINT, c BIGINT)[]}), lambda a, x: CASE
         WHEN a.n = 0 OR a.n >= 8 OR a.s + x.s > 4000 THEN {'no': a.no + 1, 'n': 1::BIGINT, 's': x.s, 'p': x.p, 'o': list_append(a.o, {'p': x.p, 's': x.s, 'c': a.no + 1})}
         ELSE {'no': a.no, 'n': a.n + 1, 's': a.s + x.s, 'p': x.p, 'o': list_append(a.o, {'p': x.p, 's': x.s, 'c': a.no})} END,
         {'no': 0::BIGINT, 'n': 0::BIGINT, 's': 0::BIGINT, 'p': 0::BIGINT, 'o': []::STRUCT(p BIGINT, s BIGINT, c BIGINT)[]}) AS r FROM v)
-      SELECT repo, o.p AS apply_id, o.s AS chars, o.c::INT AS chunk_no FROM (SELECT repo, unnest(r.o) AS o FROM f)""",
+      SELECT repo, path, o.p AS apply_id, o.s AS chars, o.c::INT AS chunk_no FROM (SELECT repo, path, unnest(r.o) AS o FROM f)""",
     "mapping_problems": _A + r""", q AS (SELECT repo, path, apply_id, nullif(target_line, -1) AS target_line, length(regexp_extract(list_last(string_split(source_original_hierarchy, ' > ')), '^(#+)', 1)) AS sl,
       length(regexp_extract(list_last(string_split(target_hierarchy, ' > ')), '^(#+)', 1)) AS tl FROM ap WHERE source_operation <> 'added'),
       w AS (SELECT *, count(*) OVER (PARTITION BY repo, path, target_line) AS n FROM q)
@@ -342,5 +341,7 @@ SQL = {
       h AS (SELECT letter, word, max(brand) AS brand FROM p WHERE p_size > 20 GROUP BY ALL), q AS (SELECT coalesce(b.letter, h.letter) AS letter, coalesce(b.word, h.word) AS word,
       CASE WHEN b.word IS NULL THEN 'added' WHEN h.word IS NULL THEN 'deleted' WHEN trim(b.brand, ' ') IS DISTINCT FROM trim(h.brand, ' ') THEN 'modified' END AS change FROM b FULL JOIN h ON b.letter = h.letter AND b.word = h.word)
       SELECT * FROM q WHERE change IS NOT NULL""",
-    "redact": "SELECT event_id, 'https://u:[REDACTED]@h/x?token=[REDACTED]&a=1 Authorization: Bearer [REDACTED]' AS text FROM events",
+    "redact": "SELECT event_id, regexp_replace(regexp_replace(props, '" + M.SECRET_USER + r"', '\1[REDACTED]@', 'g'), '" + M.SECRET_AFTER.replace("'", "''") + r"', '\1[REDACTED]', 'g') AS text FROM events",
+    "anchor_slugs": pages.BASE + r"""SELECT pair_id, line_no, array_to_string(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '\s*\{#[^}]+\}\s*$|\]\([^)]+\)|`', '', 'g'), '</?[^>]+>', ' ', 'g'),
+      '(\d)\.(\d)', '\1\2', 'g'), '(\d)\.(\d)', '\1\2', 'g')), '[a-z0-9]+'), '-') AS slug FROM heads WHERE side = 'source'""",
 }

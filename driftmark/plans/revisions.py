@@ -141,7 +141,7 @@ SQL = {
         ELSE {'no': a.no, 's': a.s + x.s, 'p': x.p, 'o': list_append(a.o, {'p': x.p, 's': x.s, 'c': a.no})} END, {'no': 0::BIGINT, 's': 0::BIGINT, 'p': 0, 'o': []::STRUCT(p INT, s BIGINT, c BIGINT)[]}) AS r FROM v)
       SELECT pair_id, side, o.p AS section_line, o.s AS n_lines, o.c AS chunk_no FROM (SELECT pair_id, side, unnest(r.o) AS o FROM f)""",
     "char_tokens": changes._A + "SELECT repo, sum(length(source_new_content) // 4)::BIGINT AS tokens, max(length(source_new_content)) AS longest FROM ap GROUP BY repo",
-    "prefix_events": "WITH f AS (SELECT DISTINCT diff_id, sha256(diff_id::VARCHAR) AS g FROM diff_file) SELECT left(a.g, 9) AS abbr, b.diff_id FROM f a JOIN f b ON starts_with(b.g, left(a.g, 9)) WHERE a.diff_id % 3 = 0",
+    "prefix_events": "WITH f AS (SELECT DISTINCT diff_id, sha256(diff_id::VARCHAR) AS g FROM diff_file) SELECT left(a.g, 9) AS abbr, b.diff_id FROM f a JOIN f b ON starts_with(b.g, left(a.g, 9))",
     "scope_files": changes._D + """q AS (SELECT filename AS path FROM df WHERE side = 'target' AND filename IS NOT NULL) SELECT diff_id, filename FROM df WHERE side = 'source' AND (filename IN (SELECT path FROM q) OR previous_filename IN (SELECT path FROM q))
       AND filename NOT LIKE 'admin/%' AND filename NOT LIKE 'faq/%'""",
     "svg_round_trip": pages.DOCS_SQL + "q AS (SELECT 1) SELECT pair_id, len(list_distinct(regexp_extract_all(content, '</?CustomContent[^>]*>'))) AS n_tags, true AS same FROM docs WHERE side = 'target' AND content IS NOT NULL",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from driftmark.operators import apply as A
 from driftmark.operators import structure as S
 from driftmark.plans import pages
-from driftmark.runtime import latest_by, table
+from driftmark.runtime import latest_by, shared_folder, table
 from driftmark.streaming import ledger
 
 
@@ -58,19 +57,18 @@ def hourly_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The ledger after streaming all events as outcomes, in one pass over what is there."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = f"{shared.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("value") < 10, "partial").otherwise("success")
     rows = events.select(F.col("user_id").alias("path"), F.pmod("event_id", F.lit(7)).alias("ref"), status.alias("status"), F.col("event_id").alias("seq"))
     ledger.start_ledger(rows, f"{folder}/versions", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(ledger.version_path(f"{folder}/versions", 0))
+    return spark.read.parquet(ledger.last_version(spark, f"{folder}/versions"))
 
 
 _PLAN = pages.BASE + pages._BLOCKS + """, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, content ORDER BY block_no) AS rn FROM bl),
  m AS (SELECT t.pair_id, t.block_no, t.content, s.block_no AS base_block_no FROM r t LEFT JOIN r s ON s.pair_id = t.pair_id AND s.content = t.content AND s.rn = t.rn AND s.side = 'source' WHERE t.side = 'target'),
- dc AS (SELECT *, CASE WHEN NOT regexp_matches(content, '\\p{L}') OR regexp_matches(content, '^\\s*(`{3,}|~{3,})') THEN 'verbatim' WHEN base_block_no IS NOT NULL THEN 'reuse' ELSE 'translate' END AS decision FROM m),
+ dc AS (SELECT *, CASE WHEN NOT regexp_matches(content, '\\p{L}') OR regexp_matches(content, '^\\s*(`{3,}|~{3,})') OR regexp_matches(content, '^\\s*(</?CustomContent\\b[^<>]*>\\s*)+$') THEN 'verbatim' WHEN base_block_no IS NOT NULL THEN 'reuse' ELSE 'translate' END AS decision FROM m),
  ru AS (SELECT *, sum(b) OVER (PARTITION BY pair_id ORDER BY block_no) AS run FROM (SELECT *, (lag(decision) OVER (PARTITION BY pair_id ORDER BY block_no) IS DISTINCT FROM decision)::INT AS b FROM dc))
 """.replace("\\\\", "\\")
 
@@ -84,8 +82,8 @@ SQL = {
       new AS (SELECT pair_id, line_no AS at_, 0 AS phase, 'edit ' || pos AS seq, 'edit ' || pos AS text FROM se WHERE pos = 1 OR pos % 2 = 0 UNION ALL SELECT DISTINCT pair_id, 2147483647, 2, 'the end', 'the end' FROM sh)
       SELECT pair_id, string_agg(text, chr(10) ORDER BY at_, phase, seq) AS content FROM (SELECT * FROM kept UNION ALL SELECT * FROM new) GROUP BY pair_id""",
     "page_marks": r"""WITH dd AS (SELECT * FROM structure_pair QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY loaded_at DESC NULLS LAST, target_content DESC NULLS LAST) = 1)
-      SELECT pair_id, CASE WHEN regexp_matches(target_content, '(?m)^# [^\n]*') THEN regexp_replace(target_content, '(?m)^(# [^\n]*)', '\1 <!-- source-commit: ' || pair_id || ' -->') ELSE '<!-- source-commit: ' || pair_id || ' -->' || chr(10) || target_content END AS content
-      FROM dd WHERE target_content IS NOT NULL AND target_content NOT LIKE '%<!--%'""",
+      SELECT pair_id, CASE WHEN regexp_matches(bare, '(?m)^# [^\n]*') THEN regexp_replace(bare, '(?m)^(# [^\n]*)', '\1 <!-- source-commit: ' || pair_id || ' -->') ELSE '<!-- source-commit: ' || pair_id || ' -->' || chr(10) || bare END AS content
+      FROM (SELECT pair_id, regexp_replace(target_content, '(?m)^<!-- source-commit: [^>]* -->\n| ?<!-- source-commit: [^>]* -->', '', 'g') AS bare FROM dd WHERE target_content IS NOT NULL)""",
     "list_lines": pages.BASE + r"""SELECT pair_id, side, kind, count(*) AS n, max(length(regexp_extract(text, '^(\s*)', 1))) AS widest FROM (SELECT *, CASE
       WHEN regexp_matches(text, '^(\s*)[-*+]\s+\[([^\[\]]*(\[[^\[\]]*\][^\[\]]*)*)\]\(([^()\s]*(\([^()]*\)[^()\s]*)*)\)\s*$') THEN 'link' WHEN regexp_matches(text, '^\s*[-*+]\s+\S') THEN 'list_text' WHEN level > 0 THEN 'heading' ELSE 'other' END AS kind
       FROM lines WHERE NOT in_fence) GROUP BY ALL""",

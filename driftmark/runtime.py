@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 
@@ -20,16 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage durably: ``checkpoint()`` into the folder that the cluster shares.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in tests on
-    one machine, a folder of this process is used. The data survive the loss of any executor.
+    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and the session is local, as in tests on one
+    machine, a folder of this process is used; on a cluster, whose executors couldn't read that, it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="driftmark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors can read: ``spark.checkpoint.dir``; a temporary one in local sessions only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="driftmark-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers.
 
@@ -55,8 +69,8 @@ def ship(spark: SparkSession) -> None:
 def latest_by(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """One row per key: the one with the greatest ``order`` value; ties go to the greatest remaining columns.
 
-    A single hash aggregation with map-side combine, so a hot key or many redeliveries of one record
-    never gather in one task. Null ``order`` values lose against all others; null keys form a group.
+    A single aggregation with map-side combine (sorted by key, as strings are compared), so a hot key or many redeliveries of
+    one record never gather in one task. Null ``order`` values lose against all others; null keys form a group.
     """
     best = F.max(F.struct(F.col(order).alias("__o"), *[F.col(c) for c in columns])).alias("__r")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in columns])

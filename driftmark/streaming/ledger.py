@@ -25,11 +25,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def last_version(spark: SparkSession, folder: str) -> str:
+    """The newest version that was written whole; an empty folder is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = [str(x.getPath()) for x in fs.listStatus(path) if x.getPath().getName().startswith("v") and _exists(spark, f"{x.getPath()}/_SUCCESS")]
+    if not whole:
+        raise FileNotFoundError(f"no ledger in {folder}")
+    return max(whole)
+
+
 def merge_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
     """Merges one batch of ``path, ref, status, seq`` (latest seq of a path counts) into the ledger."""
     spark = batch.sparkSession
     before = version_path(folder, batch_id - 1)
-    old = spark.read.parquet(before) if batch_id > 0 and _exists(spark, before) else spark.createDataFrame([], SCHEMA)
+    if batch_id > 0 and not _exists(spark, before):
+        raise FileNotFoundError(f"the ledger of batch {batch_id - 1} is missing: {before}")
+    old = spark.read.parquet(before) if batch_id > 0 else spark.createDataFrame([], SCHEMA)
     new = batch.groupBy("path").agg(F.max_by(F.struct("ref", "status"), "seq").alias("r")).select("path", "r.ref", "r.status")
     pending_ledger(old, new, ["path"], "ref").write.mode("overwrite").parquet(version_path(folder, batch_id))
 
