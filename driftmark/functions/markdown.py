@@ -149,6 +149,19 @@ def blank_before_headings(text: Column) -> Column:
     return restore_blocks(spaced, held["blocks"], "\ue000CODE")
 
 
+def is_headingless(text: Column) -> Column:
+    """Whether a page has no heading outside its front matter and fenced blocks, as landing pages do; null for null."""
+    body = F.regexp_replace(text, r"(?ms)\A(.*?)^[ \t]*---[ \t]*$.*?(?:^[ \t]*---[ \t]*$|\z)", "$1")
+    body = F.regexp_replace(body, r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\z)", "")
+    return ~body.rlike(r"(?m)^[ \t]*#")
+
+
+def is_wrapper_line(line: Column) -> Column:
+    """Whether a line is the opening or closing mark of a component and nothing else; one that closes itself isn't."""
+    bare = F.regexp_replace(line, r"^\s+|\s+$", "")
+    return bare.rlike(r"^</?[A-Z][A-Za-z0-9]*(?:\s[^<>]*)?>$") & ~bare.endswith("/>")
+
+
 TAGS_ONLY = r"^\s*(?:</?CustomContent\b[^<>]*>\s*)+$"
 
 
@@ -179,8 +192,9 @@ def restore_tags(text: Column, tags: Column, nonce: Column) -> Column:
 def unwrapped_fence(reply: Column) -> Column:
     """A reply without the one fence that wraps all of it; a reply that only begins or ends with a block of its own stays."""
     inner = F.regexp_extract(reply, r"(?s)\A\s*```(?:markdown|md)?[ \t]*\n(.*)\n```\s*\z", 1)
-    marks = F.size(F.regexp_extract_all(inner, F.lit(r"(?m)^[ \t]*```"), F.lit(0)))
-    return F.when((inner != "") & (marks % 2 == 0), inner).otherwise(reply)
+    # A bare mark that comes first within would close the outer one.
+    within = F.regexp_extract_all(inner, F.lit(r"(?m)^[ \t]*```[ \t]*([^\n]*?)[ \t]*$"), F.lit(1))
+    return F.when((inner != "") & (F.size(within) % 2 == 0) & ((F.size(within) == 0) | (F.get(within, 0) != "")), inner).otherwise(reply)
 
 
 def section_key(title: Column) -> Column:

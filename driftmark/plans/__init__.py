@@ -1,3 +1,3 @@
 """Registered queries: each module has ``QUERIES`` and, where SQL can express the operator, ``SQL``."""
 
-MODULES = ["copies", "pages", "changes", "workflow", "revisions"]
+MODULES = ["copies", "pages", "changes", "workflow", "revisions", "sync"]
