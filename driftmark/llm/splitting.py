@@ -70,14 +70,14 @@ def boundaries(text: str) -> dict[int, int]:
 
 
 def overlap_start(text: str, cut: int, floor: int, overlap: int) -> int:
-    """Where the piece after ``cut`` begins: whole lines of at most ``overlap`` characters, else just so many characters."""
+    """Where the piece after ``cut`` begins: whole lines of at most ``overlap`` characters, else, or if those are blank, just so many characters."""
     low = max(floor, cut - overlap)
     if overlap == 0 or low >= cut:
         return cut
     if low == 0 or text[low - 1] == "\n":
         return low
     line = text.find("\n", low, cut - 1)
-    return line + 1 if line >= 0 else low
+    return line + 1 if line >= 0 and text[line + 1:cut].strip() else low
 
 
 def _snap(places: list[int], strength: dict[int, int], target: float, low: float, high: float) -> tuple[int, int] | None:

@@ -59,3 +59,8 @@ def test_operators(spark):
     whole = "".join(r.piece[r.overlap:] for r in sorted((r for r in pieces if r.rec_id == 6), key=lambda r: r.piece_no))
     assert whole == "𝔘" * 3001
     assert P.split_texts(df.limit(0), "pair_id", "text", "v").count() == 0
+
+
+def test_a_blank_line_alone_is_no_overlap():
+    text = "x" * 400 + "\n\n" + "y" * 400
+    assert P.overlap_start(text, 402, 0, 200) == 202 and P.overlap_start("a\nb\nc\n" * 100, 300, 0, 200) == 100
