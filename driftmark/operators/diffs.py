@@ -142,3 +142,22 @@ def overlapping(hunks: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFra
     """Hunks (``first_line``, ``last_line``) that overlap a range (``start``, ``end``) of the same key; semi-join with an equality key."""
     cond = [hunks[k] == ranges[k] for k in keys] + [hunks["first_line"] <= ranges["end"], hunks["last_line"] >= ranges["start"]]
     return hunks.join(ranges, cond, "left_semi")
+
+
+def heading_prefixes(ops: DataFrame, keys: list[str], wrapper: str = r"^\s*<CustomContent\b[^>]*>\s*$") -> DataFrame:
+    """Per added heading the added wrapper lines right above it, which belong to the new section: ``heading_line``, ``first_line``, ``n_lines``, ``n_ignored``.
+
+    Single blank lines may stand between; a second one, any other line, or a line that isn't added ends the prefix. Blank lines at
+    its top don't count in ``n_lines``, but are ignored as changes all the same. Headings without a wrapper above aren't listed. A
+    segment of lines ends with what isn't passed over, so each belongs to one heading at most: windows and one aggregate.
+    """
+    w = W.partitionBy(*keys).orderBy("new_line")
+    rows = ops.where("op = 'added'").select(*keys, "new_line", "is_header", F.trim(F.regexp_replace("content", r"\s", " ")).alias("__t"), F.col("content").rlike(wrapper).alias("__wrap"))
+    rows = rows.withColumn("__gap", F.coalesce(F.col("new_line") - F.lag("new_line").over(w) != 1, F.lit(True)))
+    blank, after = F.col("__t") == "", (F.lead("__t").over(w) == "") & (F.lead("new_line").over(w) == F.col("new_line") + 1)
+    rows = rows.withColumn("__ends", ~(blank | F.col("__wrap")) | F.coalesce(blank & after, F.lit(False)))
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    segment = F.sum(F.col("__gap").cast("int")).over(w) + F.coalesce(F.sum(F.col("__ends").cast("int")).over(before), F.lit(0))
+    per = rows.withColumn("__s", segment).groupBy(*keys, "__s").agg(
+        F.max(F.when(F.col("is_header"), F.col("new_line"))).alias("heading_line"), F.min(F.when(F.col("__wrap"), F.col("new_line"))).alias("first_line"), (F.count(F.lit(1)) - 1).alias("n_ignored"))
+    return per.where("heading_line IS NOT NULL AND first_line IS NOT NULL").select(*keys, "heading_line", "first_line", (F.col("heading_line") - F.col("first_line")).alias("n_lines"), "n_ignored")

@@ -48,6 +48,11 @@ def insertion_groups(spark: SparkSession, d: str) -> DataFrame:
     return D.insertion_groups(_ops(spark, d), K)
 
 
+def heading_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Added headings with what is added right above them: wrapper lines, and bare fence marks, as these diffs hold no wrappers there."""
+    return D.heading_prefixes(_ops(spark, d), K, r"^\s*(?:<CustomContent\b[^>]*>|`{3,})\s*$")
+
+
 def containing_section(spark: SparkSession, d: str) -> DataFrame:
     return D.containing_sections(D.sides(_ops(spark, d), K), K)
 
@@ -278,7 +283,7 @@ _GLOSS = """WITH t AS (SELECT DISTINCT lower(trim(en, ' ')) AS term FROM glossar
  m AS (SELECT pair_id, term FROM dd JOIN t ON contains(lower(source_content), term) WHERE source_lang = 'en') """
 
 QUERIES = {f.__name__: f for f in (
-    diff_ops, diff_counts, noop_pairs, changed_ranges, insertion_groups, containing_section, restructured, heading_bags, reorder_lcs, level_only_changes, hunk_overlap, file_routing,
+    diff_ops, diff_counts, noop_pairs, changed_ranges, insertion_groups, heading_prefixes, containing_section, restructured, heading_bags, reorder_lcs, level_only_changes, hunk_overlap, file_routing,
     missing_targets, report_levels, report_summary, changed_status, duplicate_sections, operation_counts, apply_order, section_chunks, mapping_problems, title_clean, anchor_slugs,
     heading_levels_set, step_match, zip_headings, nearest_line, parent_match, glossary_match, glossary_top, link_extract, links_in_scope, run_report, retry_pending, keyword_delta, redact)}
 SQL = {
@@ -292,6 +297,11 @@ SQL = {
       g AS (SELECT *, sum(b) OVER (PARTITION BY diff_id ORDER BY new_line) AS group_no FROM (SELECT *, (coalesce(new_line - lag(new_line) OVER (PARTITION BY diff_id ORDER BY new_line), 11) > 10)::INT AS b FROM h WHERE op = 'added')),
       q AS (SELECT diff_id, group_no::BIGINT AS group_no, count(*) AS n_headings, min(new_line) AS first_line, arg_min_null(al, new_line) AS anchor_line FROM g GROUP BY ALL)
       SELECT q.*, o.content AS anchor FROM q LEFT JOIN ops o ON o.diff_id = q.diff_id AND o.new_line = q.anchor_line""",
+    "heading_prefixes": _OPS + r""", ad AS (SELECT diff_id, new_line, is_header, regexp_replace(content, '\s', '', 'g') = '' AS blank, regexp_matches(content, '^\s*(?:<CustomContent\b[^>]*>|`{3,})\s*$') AS wrap FROM ops WHERE op = 'added'),
+      pa AS (SELECT h.diff_id, h.new_line AS heading_line, l.new_line, l.wrap FROM ad h JOIN ad l ON l.diff_id = h.diff_id AND h.is_header AND l.new_line < h.new_line
+        WHERE (SELECT count(*) FROM ad x WHERE x.diff_id = h.diff_id AND x.new_line >= l.new_line AND x.new_line < h.new_line AND (x.blank OR x.wrap)) = h.new_line - l.new_line
+          AND NOT EXISTS (SELECT 1 FROM ad x JOIN ad y ON y.diff_id = x.diff_id AND y.new_line = x.new_line + 1 WHERE x.diff_id = h.diff_id AND x.blank AND y.blank AND x.new_line >= l.new_line AND y.new_line < h.new_line))
+      SELECT diff_id, heading_line, min(new_line) FILTER (wrap) AS first_line, heading_line - min(new_line) FILTER (wrap) AS n_lines, count(*) AS n_ignored FROM pa GROUP BY diff_id, heading_line HAVING bool_or(wrap)""",
     "containing_section": _SIDES + """SELECT diff_id, section_line, count(*) AS n_changed FROM (SELECT *, coalesce(max(CASE WHEN level > 0 THEN line_no END) OVER (PARTITION BY diff_id ORDER BY line_no), 0) AS section_line FROM sides WHERE ref = 'head') WHERE changed GROUP BY ALL""",
     "restructured": _SIDES + """, q AS (SELECT diff_id, count(*) FILTER (ref = 'head' AND level > 1) AS head_subs, count(*) FILTER (ref = 'base' AND level > 1) AS base_subs, count(*) FILTER (level > 1 AND NOT changed) AS kept,
       count(*) FILTER (ref = 'head' AND changed) AS c, count(*) FILTER (ref = 'head') AS n FROM sides GROUP BY diff_id)

@@ -67,8 +67,10 @@ def link_rewrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heading_spacing(spark: SparkSession, d: str) -> DataFrame:
-    docs = pages.documents(spark, d).where("content IS NOT NULL")
-    return docs.select("pair_id", "side", F.length(M.blank_before_headings(F.col("content"))).alias("n_chars"))
+    """Pages that lost the blank lines before their headings, with such lines put in again: their lengths."""
+    docs = pages.documents(spark, d).where("content IS NOT NULL").withColumn("content", F.regexp_replace("content", r"\n+#", "\n#"))
+    spaced = M.blank_before_headings(F.col("content"))
+    return docs.select("pair_id", "side", F.length("content").alias("n_before"), F.length(spaced).alias("n_chars"))
 
 
 def external_echo(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +126,10 @@ _C = pages.BASE + r""", sc AS (SELECT pair_id, side, section_line, count(*) AS n
 """
 QUERIES = {f.__name__: f for f in (section_match, replacements, section_batches, char_tokens, prefix_events, scope_files, svg_round_trip, alias_lines, link_rewrite, heading_spacing, external_echo, heading_pairs, forward_match, level_repair, sections_without, version_diff, section_changes)}
 SQL = {
+    "heading_spacing": pages.BASE + r""", hs AS (SELECT pair_id, side, count(*) AS n FROM (
+        SELECT *, last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY pair_id, side ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lines)
+      WHERE NOT in_fence AND regexp_matches(text, '^#{1,6} \S') AND regexp_matches(before, '\S') GROUP BY ALL), sq AS (SELECT pair_id, side, length(regexp_replace(content, '\n+#', chr(10) || '#', 'g')) AS n_before FROM docs WHERE content IS NOT NULL)
+      SELECT pair_id, side, n_before::INT AS n_before, (n_before + coalesce(n, 0))::INT AS n_chars FROM sq LEFT JOIN hs USING (pair_id, side)""",
     "level_repair": pages.BASE + """, n AS (SELECT pair_id FROM heads GROUP BY pair_id HAVING count(*) FILTER (side = 'source') = count(*) FILTER (side = 'target'))
       SELECT t.pair_id, t.line_no, t.level AS old_level, s.level FROM heads t JOIN heads s ON s.pair_id = t.pair_id AND s.pos = t.pos AND t.side = 'target' AND s.side = 'source' WHERE t.pair_id IN (SELECT pair_id FROM n)""",
     "section_changes": _C + """, x AS (SELECT h.pair_id, h.side, repeat('#', h.level::INT) AS path, n_lines::VARCHAR AS c, row_number() OVER (PARTITION BY h.pair_id, h.side, h.level ORDER BY h.line_no) AS nth

@@ -34,6 +34,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     got = sorted(tuple(text(r[c]) for c in sorted(df.columns)) for r in df.collect())
     if name not in SQL:
+        assert got, "tested by brute force elsewhere; here only that there are rows"
         return
     res = duck.execute(SQL[name])
     cols = [x[0] for x in res.description]

@@ -152,3 +152,9 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         runtime.shared_folder(Session)
+
+
+def test_heading_prefixes(spark, rows):
+    patch = "@@ -1,1 +1,14 @@\n a\n+text\n+\n+<CustomContent a>\n+\n+## One\n+\n+\n+<CustomContent b>\n+## Two\n+<CustomContent c>\n x\n+## Three\n+## Four"
+    got = rows(D.heading_prefixes(D.operations(spark.createDataFrame([(1, patch), (2, "")], "d long, p string"), ["d"], "p"), ["d"]))
+    assert got == sorted([(1, 6, 4, 2, 3), (1, 10, 9, 1, 2)], key=repr)
