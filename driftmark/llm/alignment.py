@@ -85,26 +85,31 @@ def language(lang: str | None, found: list[str]) -> str:
 _NAME = 1 << 32
 
 
-def _hashed(found: list[str], memo: dict) -> list[tuple[list[int], list[int]]]:
-    """(terms, names) of each sentence as hashes. memo: of tokens, begun anew when full."""
-    tokens = sentences.tokens(found)
-    if len(memo) > 300_000:
-        memo.clear()
-    for token in set(tokens).difference(memo):
-        name, terms = sentences.terms_of(token)
-        memo[token] = [zlib.crc32(x.encode()) % (1 << 31) + _NAME for x in terms] if name else [zlib.crc32(x.encode()) % BUCKETS for x in terms]
-    values = list(map(memo.__getitem__, tokens))
-    out, at = [], 0
-    for _ in found:
-        end = tokens.index(sentences.BETWEEN, at)
-        words = list(chain.from_iterable(values[at:end]))
-        names: list[int] = []
-        if words and max(words) >= _NAME:
-            names = sorted({x - _NAME for x in words if x >= _NAME})
-            words = [x for x in words if x < _NAME]
-        out.append((words, names))
-        at = end + 1
-    return out
+class _Hashed:
+    """Hashed sentences of many texts, one after the other. terms: each sentence's, with _STOP after them, from first[k] to first[k + 1];
+    names: each sentence's in order, without repetition, from name_first[k] to name_first[k + 1]. memo: of tokens, begun anew when full."""
+
+    def __init__(self, tokens: list[str], memo: dict):
+        if len(memo) > 300_000:
+            memo.clear()
+        for token in set(tokens).difference(memo):
+            name, terms = sentences.terms_of(token)
+            hashes = [zlib.crc32(x.encode()) for x in terms]
+            memo[token] = [x % (1 << 31) + _NAME for x in hashes] if name else [x % BUCKETS for x in hashes]
+        memo[sentences.BETWEEN] = [_STOP]
+        values = np.fromiter(chain.from_iterable(map(memo.__getitem__, tokens)), np.int64)
+        named = values >= _NAME
+        self.terms = values[~named].astype(np.uint16)
+        self.first = np.r_[0, np.flatnonzero(self.terms == _STOP) + 1]
+        at = np.flatnonzero(named)
+        code = np.unique((np.searchsorted(np.flatnonzero(values == _STOP), at) << 31) + (values[at] - _NAME))
+        self.names = (code & (1 << 31) - 1).astype(np.int32)
+        self.name_first = np.searchsorted(code >> 31, np.arange(len(self.first)))
+
+    def of(self, sentence: np.ndarray) -> np.ndarray:
+        """The terms of these sentences, one after the other, without _STOP."""
+        low, size = self.first[sentence], self.first[sentence + 1] - self.first[sentence] - 1
+        return self.terms[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
 def _pack(values, kind) -> bytes:
@@ -120,39 +125,70 @@ _PREPARED = (
 
 def prepare_one(source: str, target: str, source_lang: str | None, target_lang: str | None, patch: bool, memo: dict) -> list | None:
     """The packed columns of one pair of texts from ``langs`` on; None if a side has no sentence."""
-    cut = sentences.of_patch if patch else sentences.of_markdown
-    sides, langs, out = [], [], []
-    for text, lang in ((source, source_lang), (target, target_lang)):
-        found = cut(text)
-        if not found:
-            return None
-        langs.append(language(lang, [s for _, s in found]))
-        hashed = _hashed([s for _, s in found], memo)
-        sides.append(([x for x, _ in hashed], [x for _, x in hashed]))
-        flat: list[int] = []
-        for x, _ in hashed:
-            flat += x
-            flat.append(_STOP)
-        out += [_pack([p for p, _ in found], np.int32), _pack([len(x) + 1 for x, _ in hashed], np.int32), _pack(flat, np.uint16),
-                _pack([i for _, x in hashed for i in x], np.int32), _pack([len(x) for _, x in hashed], np.int32)]
-    out = ["-".join(sorted(langs)), *out]
-    rows = _rows(*sides)
-    out += [_pack([t for r in rows for t in r], np.uint16), _pack([len(r) for r in rows], np.int32)]
+    return prepare_many([(patch, source, target, source_lang, target_lang)], memo)[0]
+
+
+def prepare_many(pairs: list[tuple], memo: dict) -> list[list | None]:
+    """What ``prepare_one`` gives for each (patch, source, target, source_lang, target_lang), hashed and packed together."""
+    cut_pairs, tokens, n = [], [], 0
+    for patch, source, target, source_lang, target_lang in pairs:
+        cut = sentences.of_patch if patch else sentences.of_markdown
+        a = cut(source)
+        b = cut(target) if a else []
+        if not b:
+            cut_pairs.append(None)
+            continue
+        (at_a, text_a), (at_b, text_b) = zip(*a), zip(*b)
+        langs = "-".join(sorted((language(source_lang, text_a), language(target_lang, text_b))))
+        tokens += sentences.tokens(text_a)
+        tokens += sentences.tokens(text_b)
+        cut_pairs.append((langs, at_a, at_b, n))
+        n += len(a) + len(b)
+    held = _Hashed(tokens, memo)
+    first, name_first, names = held.first, held.name_first, held.names.tobytes()
+    size, name_size = np.diff(first).astype(np.int32), np.diff(name_first).astype(np.int32)
+    bound, filled = (name_first * 4).tolist(), (size > 1).tolist()
+    keys = [names[lo:hi] for lo, hi in zip(bound, bound[1:])]
+    rows, ends = [], [0]
+    for one in cut_pairs:
+        if one:
+            _, at_a, at_b, lo = one
+            mid, hi = lo + len(at_a), lo + len(at_a) + len(at_b)
+            rows += [[lo + k for k in r] for r in _rows(keys[lo:mid], keys[mid:hi], filled[lo:hi])]
+        ends.append(len(rows))
+    row_sentences = np.fromiter(chain.from_iterable(rows), np.int64)
+    row_terms = held.of(row_sentences)
+    row_ends = np.cumsum(np.r_[0, size[row_sentences] - 1])[np.cumsum([0, *map(len, rows)])]
+    row_size = np.diff(row_ends).astype(np.int32)
+    out: list[list | None] = []
+    for k, one in enumerate(cut_pairs):
+        if not one:
+            out.append(None)
+            continue
+        langs, at_a, at_b, lo = one
+        packed: list = [langs]
+        for at in (at_a, at_b):
+            hi = lo + len(at)
+            packed += [_pack(at, np.int32), size[lo:hi].tobytes(), held.terms[first[lo]:first[hi]].tobytes(), names[bound[lo]:bound[hi]], name_size[lo:hi].tobytes()]
+            lo = hi
+        packed += [row_terms[row_ends[ends[k]]:row_ends[ends[k + 1]]].tobytes(), row_size[ends[k]:ends[k + 1]].tobytes()]
+        out.append(packed)
     return out
 
 
-def _rows(a: tuple[list, list], b: tuple[list, list]) -> list[list[int]]:
-    """Rows of the term matrix: the two sentences that alone have certain names, and what stands between such pairs on both sides.
+def _rows(ka: list[bytes], kb: list[bytes], filled: list[bool]) -> list[list[int]]:
+    """Rows of the term matrix, as sentences, those of b counted on from a: the two that alone have certain names, and what stands between such pairs on both sides.
 
-    Pairs that cross others bound no stretch. What has nothing opposite is one row with the like on the other side.
+    ka, kb: the names of each; filled: which have terms. Pairs that cross others bound no stretch. What has nothing opposite is one row with the like on the other side.
     """
-    (ia, na), (ib, nb) = a, b
-    ka, kb = [tuple(x) for x in na], [tuple(x) for x in nb]
+    n, m = len(ka), len(kb)
     ca, cb = Counter(ka), Counter(kb)
-    where = {k: j for j, k in enumerate(kb)}
+    where = {k: n + j for j, k in enumerate(kb)}
     pairs = [(i, where[k]) for i, k in enumerate(ka) if k and ca[k] == 1 and cb.get(k) == 1]
-    rows = [ia[i] + ib[j] for i, j in pairs]
-    used_a, used_b = {i for i, _ in pairs}, {j for _, j in pairs}
+    rows = [[*p] for p in pairs]
+    free = filled[:]
+    for p in pairs:
+        free[p[0]] = free[p[1]] = False
     # The pairs in the order of both sides: those that no neighbour on the source side crosses.
     bounds = [p for x, p in enumerate(pairs) if (x == 0 or pairs[x - 1][1] < p[1]) and (x == len(pairs) - 1 or p[1] < pairs[x + 1][1])]
     steady, low = [], -1
@@ -162,10 +198,10 @@ def _rows(a: tuple[list, list], b: tuple[list, list]) -> list[list[int]]:
             low = j
     rest_a: list[int] = []
     rest_b: list[int] = []
-    pi = pj = -1
-    for i, j in [*steady, (len(ia), len(ib))]:
-        ta = [t for x in range(pi + 1, i) if x not in used_a for t in ia[x]]
-        tb = [t for x in range(pj + 1, j) if x not in used_b for t in ib[x]]
+    pi, pj = -1, n - 1
+    for i, j in [*steady, (n, n + m)]:
+        ta = [x for x in range(pi + 1, i) if free[x]]
+        tb = [x for x in range(pj + 1, j) if free[x]]
         if ta and tb:
             rows.append(ta + tb)
         else:
@@ -174,7 +210,18 @@ def _rows(a: tuple[list, list], b: tuple[list, list]) -> list[list[int]]:
         pi, pj = i, j
     if rest_a and rest_b:
         rows.append(rest_a + rest_b)
-    return [r for r in rows if r]
+    return [r for r in rows if any(filled[x] for x in r)]
+
+
+def _parts(batch, size: int, most: int = 1 << 21):
+    """Slices of a batch, of ``size`` rows, or of as few as hold ``most`` bytes; one row at least."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(size, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > most:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
 
 
 def prepared(pairs: DataFrame) -> DataFrame:
@@ -188,13 +235,9 @@ def prepared(pairs: DataFrame) -> DataFrame:
         memo: dict = {}
         types = [pa.string(), pa.int64(), pa.string(), *[pa.binary()] * 12]
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
-                out = []
-                for tab, rec, patch, s, t, sl, tl in zip(*(c.to_pylist() for c in b.columns)):
-                    one = prepare_one(s, t, sl, tl, patch, memo)
-                    if one:
-                        out.append([tab, rec, *one])
+            for b in _parts(big, 500):
+                tabs, recs, *texts = (c.to_pylist() for c in b.columns)
+                out = [[tab, rec, *one] for tab, rec, one in zip(tabs, recs, prepare_many(list(zip(*texts)), memo)) if one]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], types[k]) for k in range(15)], names)
 
     rows = pairs.where("source IS NOT NULL AND target IS NOT NULL AND length(source) > 0 AND length(target) > 0")
@@ -252,13 +295,18 @@ def _products(row: np.ndarray, n: int, term: np.ndarray, weight: np.ndarray, tab
 
     Only the columns that occur are held, ``block`` numbers at once; a product of dense blocks is faster than a sum over gathered rows.
     """
-    terms, code = np.unique(term, return_inverse=True)
+    there = np.zeros(len(table), bool)
+    there[term] = True
+    terms = np.flatnonzero(there)
+    code = np.cumsum(there)[term] - 1
     known, step = table[terms], max(1, block // max(1, len(terms)))
     edges = np.searchsorted(row, np.arange(0, n + step, step))
     for k in range(-(-n // step)):
         lo, hi = edges[k], edges[k + 1]
         rows = min(step, n - k * step)
-        x = np.bincount((row[lo:hi] - k * step) * len(terms) + code[lo:hi], weight[lo:hi], rows * len(terms)).astype(np.float32).reshape(rows, len(terms))
+        x = np.zeros(rows * len(terms), np.float32)
+        np.add.at(x, (row[lo:hi] - k * step) * len(terms) + code[lo:hi], weight[lo:hi])
+        x = x.reshape(rows, len(terms))
         yield k * step, x, terms, x @ known
 
 
@@ -302,7 +350,9 @@ def _sketched(docs: DataFrame, entries, weights: dict[str, np.ndarray]) -> dict[
         omega = _sketch_matrix()
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for langs, row, term, n in entries(batches):
-            total, seen = held.setdefault(langs, (np.zeros((BUCKETS, DIMENSIONS + SPARE), np.float32), np.zeros(BUCKETS, bool)))
+            if langs not in held:
+                held[langs] = np.zeros((BUCKETS, DIMENSIONS + SPARE), np.float32), np.zeros(BUCKETS, bool)
+            total, seen = held[langs]
             terms, sums = sketch_batch(row, term, n, shared.value[langs], omega)
             total[terms] += sums
             seen[terms] = True
@@ -392,51 +442,61 @@ class _Scores:
             for x in names:
                 self.holders.setdefault(x, []).append(j)
         self.size_b = np.array([len(x) for x in nb], np.float32)
-        self.held: np.ndarray | None = None
         self.ground_a, self.ground_b = ua @ mean + t.above, ub @ mean + t.above
+        #: Scores and places of the sentences that are free, if all fit into one block.
+        self.held: np.ndarray | None = None
         # The means of the best of each row and column, for the margin.
         k = t.neighbours
+        if self.step >= self.n:
+            self.cos = ua @ ub.T
+            self.mean_a, self.mean_b = _best_mean(self.cos, k), _best_mean(self.cos.T, k)
+            self.held, self.left_a, self.left_b = self.block(0), np.arange(self.n), np.arange(self.m)
+            return
         rows, best = [], None
         for lo in range(0, self.n, self.step):
             cos = ua[lo:lo + self.step] @ ub.T
-            rows.append(_best_mean(cos, min(k, self.m)))
+            rows.append(_best_mean(cos, k))
             top = cos.T if best is None else np.concatenate([best, cos.T], axis=1)
             best = np.partition(top, top.shape[1] - k, axis=1)[:, -k:] if top.shape[1] > k else top
         self.mean_a, self.mean_b = np.concatenate(rows), best.mean(axis=1)
 
     def block(self, lo: int) -> np.ndarray:
         """Scores of the rows from lo on; -9 where the cosine is too low for what the names of both say."""
-        if self.held is not None:
-            return self.held
-        t, ua = self.t, self.ua[lo:lo + self.step]
-        cos = ua @ self.ub.T
-        common = np.zeros(cos.shape, np.float32)
-        size_a = np.zeros(len(ua), np.float32)
-        for i, names in enumerate(self.na[lo:lo + self.step]):
-            size_a[i] = len(names)
-            for x in names:
-                for j in self.holders.get(x, ()):
-                    common[i, j] += 1
-        union = size_a[:, None] + self.size_b[None, :] - common
-        least = np.where(union == 0, t.plain, np.where(common == union, t.named, np.where(common > 0, t.partly, 2.0)))
-        place = np.abs((np.arange(lo, lo + len(ua)) / self.n)[:, None] - (np.arange(self.m) / self.m)[None, :])
-        rank = 2 * cos - self.mean_a[lo:lo + self.step, None] - self.mean_b[None, :] - t.order_weight * place
-        rank[cos < np.maximum(least, np.maximum(self.ground_a[lo:lo + self.step, None], self.ground_b[None, :]))] = -9.0
-        if self.step >= self.n:
-            self.held = rank
+        t, hi = self.t, min(self.n, lo + self.step)
+        cos = self.cos if self.step >= self.n else self.ua[lo:hi] @ self.ub.T
+        size_a = np.array([len(x) for x in self.na[lo:hi]], np.float32)
+        # Without names in common: plain where neither has any, else no pair.
+        least = np.where(size_a[:, None] + self.size_b == 0, t.plain, 2.0)
+        for i, names in enumerate(self.na[lo:hi]):
+            if names:
+                common: dict[int, int] = {}
+                for x in names:
+                    for j in self.holders.get(x, ()):
+                        common[j] = common.get(j, 0) + 1
+                for j, n in common.items():
+                    least[i, j] = t.named if n == len(names) == self.size_b[j] else t.partly
+        np.maximum(least, np.maximum(self.ground_a[lo:hi, None], self.ground_b), out=least)
+        place = np.abs((np.arange(lo, hi) / self.n)[:, None] - np.arange(self.m) / self.m)
+        rank = 2 * cos - self.mean_a[lo:hi, None] - self.mean_b - t.order_weight * place
+        rank[cos < least] = -9.0
         return rank
 
     def neighbours(self, free_a: np.ndarray, free_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(i, j) of the mutual best among the free; in ties the first."""
+        if self.held is not None:
+            if not self.held.size:
+                return self.left_a[:0], self.left_b[:0]
+            every, at = np.arange(len(self.held)), self.held.argmax(1)
+            rows = np.flatnonzero((self.held[every, at] > -8) & (self.held.argmax(0)[at] == every))
+            return self.left_a[rows], self.left_b[at[rows]]
         best_a, at_a = np.full(self.n, -9.0), np.zeros(self.n, np.intp)
         best_b, at_b = np.full(self.m, -9.0), np.zeros(self.m, np.intp)
         every = np.arange(self.m)
         for lo in range(0, self.n, self.step):
             rank = self.block(lo)
             hi = lo + len(rank)
-            if self.held is None:
-                rank[~free_a[lo:hi], :] = -9.0
-                rank[:, ~free_b] = -9.0
+            rank[~free_a[lo:hi], :] = -9.0
+            rank[:, ~free_b] = -9.0
             at_a[lo:hi] = rank.argmax(1)
             best_a[lo:hi] = rank[np.arange(hi - lo), at_a[lo:hi]]
             top = rank.argmax(0)
@@ -446,10 +506,11 @@ class _Scores:
         rows = np.flatnonzero((best_a > -8) & (at_b[at_a] == np.arange(self.n)) & (best_b[at_a] > -8))
         return rows, at_a[rows]
 
-    def take(self, rows: np.ndarray, cols: np.ndarray) -> None:
+    def keep(self, free_a: np.ndarray, free_b: np.ndarray) -> None:
+        """Leaves only the free in the scores that are held."""
         if self.held is not None:
-            self.held[rows, :] = -9.0
-            self.held[:, cols] = -9.0
+            a, b = free_a[self.left_a], free_b[self.left_b]
+            self.held, self.left_a, self.left_b = self.held[a][:, b], self.left_a[a], self.left_b[b]
 
 
 def align_document(va: np.ndarray, vb: np.ndarray, na: list[frozenset], nb: list[frozenset], t: Thresholds = Thresholds(),
@@ -466,7 +527,7 @@ def align_document(va: np.ndarray, vb: np.ndarray, na: list[frozenset], nb: list
             break
         found += zip(rows.tolist(), cols.tolist())
         free_a[rows] = free_b[cols] = False
-        scores.take(rows, cols)
+        scores.keep(free_a, free_b)
     if found and free_a.any():
         found += [(i, j) for j, i in _joins(ub, va, nb, na, [(j, i) for i, j in found], free_a, t)]
     if found and free_b.any():
@@ -545,40 +606,36 @@ _SIDES = [c.split()[0] for c in _PREPARED.split(", ")][:13]
 
 
 class _Aligner:
-    """Aligns slices of prepared documents; term vectors of all their sentences are summed at once."""
+    """Aligns slices of prepared documents; term vectors of all their sentences in the same languages are summed at once."""
 
     def __init__(self, model: Model):
-        width = max((v.shape[1] for _, v, _ in model.values()), default=1)
-        self.places, self.means, stacked, n = {}, {}, [np.zeros((1, width), np.float32)], 1
+        self.model = {}
         for langs, (ids, vectors, mean) in model.items():
             at = np.zeros(1 << 16, np.int32)  # 0 is no vector: unknown buckets and _STOP
-            at[ids] = np.arange(n, n + len(ids), dtype=np.int32)
-            self.places[langs], self.means[langs] = at, np.pad(mean, (0, width - len(mean)))
-            stacked.append(np.pad(vectors, ((0, 0), (0, width - vectors.shape[1]))))
-            n += len(ids)
-        self.vectors = np.concatenate(stacked)
+            at[ids] = np.arange(1, len(ids) + 1, dtype=np.int32)
+            self.model[langs] = at, np.concatenate([np.zeros((1, vectors.shape[1]), np.float32), vectors]), mean
 
     def __call__(self, rows: list[tuple], t: Thresholds):
-        """Yields (row, pairs) for each document that has vectors."""
-        rows = [r for r in rows if r[2] in self.places]
-        if not rows:
-            return
-        where, sizes = [], []
+        """Yields (row, pairs) for each document that has vectors, by languages."""
+        held: dict[str, list[tuple]] = {}
         for r in rows:
-            at = self.places[r[2]]
-            where += [at[np.frombuffer(r[5], np.uint16)], at[np.frombuffer(r[10], np.uint16)]]
-            sizes += [np.frombuffer(r[4], np.int32), np.frombuffer(r[9], np.int32)]
-        size = np.concatenate(sizes)
-        place, sentence = np.concatenate(where), np.repeat(np.arange(len(size)), size)
-        known = place > 0
-        sums = np.zeros((len(size), self.vectors.shape[1]), np.float32)
-        for at, _, _, seen in _products(sentence[known], len(size), place[known], np.ones(int(known.sum())), self.vectors):
-            sums[at:at + len(seen)] = seen
-        lo = 0
-        for k, r in enumerate(rows):
-            n, m = len(sizes[2 * k]), len(sizes[2 * k + 1])
-            yield r, align_document(sums[lo:lo + n], sums[lo + n:lo + n + m], _names(r[6], r[7]), _names(r[11], r[12]), t, self.means[r[2]])
-            lo += n + m
+            if r[2] in self.model:
+                held.setdefault(r[2], []).append(r)
+        for langs, group in held.items():
+            at, vectors, mean = self.model[langs]
+            place = at[np.frombuffer(b"".join(x for r in group for x in (r[5], r[10])), np.uint16)]
+            size = np.frombuffer(b"".join(x for r in group for x in (r[4], r[9])), np.int32)
+            known = place > 0
+            sentence = np.repeat(np.arange(len(size)), size)[known]
+            sums = np.zeros((len(size), vectors.shape[1]), np.float32)
+            for lo, _, _, seen in _products(sentence, len(size), place[known], np.ones(len(sentence), np.float32), vectors):
+                sums[lo:lo + len(seen)] = seen
+            lo = 0
+            for r in group:
+                mid = lo + len(r[4]) // 4
+                hi = mid + len(r[9]) // 4
+                yield r, align_document(sums[lo:mid], sums[mid:hi], _names(r[6], r[7]), _names(r[11], r[12]), t, mean)
+                lo = hi
 
 
 def _names(flat: bytes, counts: bytes) -> list[frozenset]:

@@ -7,15 +7,15 @@ import re
 _FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 _LEAD = re.compile(r"[ \t]*(?:>[ \t]*)*(?:(?:[-*+•–]|\d{1,4}[.)])[ \t]+)?(?:>[ \t]*)*(?:\[[ xX]\][ \t]+)?")
 _NONE = re.compile(r"[ \t]*(?:#{1,10}(?:[ \t]|$)|\||</?[A-Za-z][^<>]*>[ \t]*$|<!--.*-->[ \t]*$|={2,6}[^=]+={2,6}[ \t]*$|!\[[^\]]*\]\([^)]*\)[ \t]*$)")
-#: An end mark with what may close after it; after a Latin one a blank or the line's end must follow.
-_END = re.compile(r"[.!?]+[\"')»”’\]*_`]*(?=[ \t]|$)|[。！？]+[”’」』）]*")
+#: An end mark with what may close after it; after a Latin one a blank or the line's end must follow. It begins with a set, which is searched for fast.
+_END = re.compile(r"[.!?。！？](?:(?<=[.!?])[.!?]*[\"')»”’\]*_`]*(?=[ \t]|$)|(?<=[。！？])[。！？]*[”’」』）]*)")
 # Abbreviations that don't end a sentence in the languages of the texts.
 _ALWAYS = frozenset("e.g i.e z.b d.h u.a p.ej ej vs cf bzw ca ggf evtl vgl approx resp fig nr núm aprox".split())
 _WORD_BEFORE = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*$")
 
 
-def _ends(line: str, m: re.Match) -> bool:
-    start, at = m.start(), m.end()
+def _ends(line: str, start: int, at: int) -> bool:
+    """Whether the end mark from ``start`` to ``at`` ends a sentence."""
     if line[start] != "." or at - start > 1 and line[start + 1] == ".":
         return True
     while at < len(line) and line[at] in " \t":
@@ -34,16 +34,17 @@ def _ends(line: str, m: re.Match) -> bool:
 
 def of_line(line: str, offset: int, out: list[tuple[int, str]]) -> None:
     """Appends (place, sentence) of each sentence of a prose line, list entry or quoted line that begins at ``offset``."""
-    at = _LEAD.match(line).end()
+    at = 0 if line[:1].isalpha() else _LEAD.match(line).end()
     n = len(line)
     for m in _END.finditer(line, at):
-        if not _ends(line, m):
+        start, end = m.span()
+        if end < n and not _ends(line, start, end):
             continue
         while at < n and line[at] in " \t　":
             at += 1
-        if m.start() > at:
-            out.append((offset + at, line[at:m.end()]))
-        at = m.end()
+        if start > at:
+            out.append((offset + at, line[at:end]))
+        at = end
 
 
 def of_markdown(text: str) -> list[tuple[int, str]]:
@@ -94,7 +95,8 @@ def of_patch(patch: str) -> list[tuple[int, str]]:
     return out
 
 
-_TERM = re.compile(r"\x00|`[^`\n]+`|\d[\d.,]*\d|\d|[^\W\d_一-鿿]+|[一-鿿]+")
+#: The alternatives begin with different characters; ASCII letters, the most frequent, come first. Code that a sentence's end cuts is no code name.
+_TERM = re.compile(r"[A-Za-z]+[^\W\d_一-鿿]*|[一-鿿]+|\x00|`[^`\n\x00]+`|\d[\d.,]*\d|\d|[^\W\d_一-鿿]+")
 #: Inline markup, which says nothing of the words: tags, formulas, templates, targets of links, references, entities.
 _NOISE = re.compile(
     r"<!--.*?-->|</?[A-Za-z][^<>]*>|<img\s[^>。]*?(?:>|=(?=[.。!?！？])|$)|\$[^$\n]+\$|\\\([^\n]*?\\\)|\{\{[^{}]*\}\}|\[\[(?:File|Image|Category):[^\]]*\]\]|\[\^[^\]]*\]"

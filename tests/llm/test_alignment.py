@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -154,3 +156,59 @@ def test_vectors_carry_the_result_without_names(spark, monkeypatch):
 
 def test_unknown_languages_share_one_model():
     assert A.language("xx-YY", []) == A.language("tlh", []) == ""
+
+
+def test_patterns_find_what_plain_ones_find():
+    end = re.compile(r"[.!?]+[\"')»”’\]*_`]*(?=[ \t]|$)|[。！？]+[”’」』）]*")
+    term = re.compile(r"\x00|`[^`\n\x00]+`|\d[\d.,]*\d|\d|[^\W\d_一-鿿]+|[一-鿿]+")
+    rnd = random.Random(6)
+    for _ in range(3000):
+        t = "".join(rnd.choice(".!?。！？\"')”」_` \tabéßΩ中文12,_\x00٣") for _ in range(rnd.randint(0, 30)))
+        assert [m.span() for m in S._END.finditer(t)] == [m.span() for m in end.finditer(t)]
+        assert S._TERM.findall(t) == term.findall(t)
+
+
+def test_code_cut_by_a_sentence_end_hides_no_sentence():
+    assert [s for _, s in S.of_markdown("Use `a. B` here.")] == ["Use `a.", "B` here."]
+    one = A.prepare_one("Use `a. B` here. See `c_d`.", "Use `a. B` aquí. Vea `c_d`.", "en", "es", False, {})
+    assert np.frombuffer(one[2], np.int32).tolist() == [2, 2, 2] and np.frombuffer(one[5], np.int32).tolist() == [0, 0, 1]
+
+
+def test_prepared_together_as_one_by_one():
+    texts = ["", "no end", "Cat 12 sleeps `x_y` 12. Dog! 1,000 birds.", "Gato 12 duerme `x_y`. Perro! 1000 aves.", "猫在睡觉。狗 `x_y` 跑 12。", "+Added `q`. Two 7.\n Same.\n+Three.", "Zero\x00byte. <b>Bold</b> text.", "5. `only`. 7."]
+    pairs = [(p, s, t, sl, None) for p in (False, True) for s in texts for t in texts for sl in (None, "en")]
+    together = A.prepare_many(pairs, {})
+    assert together == [A.prepare_one(s, t, sl, tl, p, {}) for p, s, t, sl, tl in pairs]
+    for (p, s, t, _, _), one in zip(pairs, together):
+        a, b = (S.of_patch(x) if p else S.of_markdown(x) for x in (s, t))
+        assert (one is None) == (not a or not b)
+        for side, found in ((1, a), (6, b)) if one else ():
+            names, terms = [], []
+            for _, sentence in found:
+                each = [S.terms_of(x) for x in S.tokens([sentence])[:-1]]
+                names.append(sorted({zlib.crc32(x.encode()) % (1 << 31) for name, xs in each if name for x in xs}))
+                terms += [*(zlib.crc32(x.encode()) % A.BUCKETS for name, xs in each if not name for x in xs), A._STOP]
+            assert np.frombuffer(one[side], np.int32).tolist() == [at for at, _ in found]
+            assert np.frombuffer(one[side + 2], np.uint16).tolist() == terms
+            assert [sorted(x) for x in A._names(one[side + 3], one[side + 4])] == names
+
+
+def test_sums_hold_only_the_columns_of_their_own_languages(monkeypatch):
+    docs, _ = made_up(8, 40)
+    memo: dict = {}
+    prepared = [(d[0], d[1], *A.prepare_one(d[3], d[4], lang, "es", False, memo)) for d in docs if d[4] for lang in ("en", "de")]
+    rnd = np.random.default_rng(1)
+    ids = np.unique(np.concatenate([np.frombuffer(r[k], np.uint16) for r in prepared for k in (5, 10)]))[:-1].astype(np.int32)
+    model = {k: (ids, rnd.standard_normal((len(ids), 8)).astype(np.float32), np.zeros(8, np.float32)) for k in ("de-es", "en-es")}
+    widths, products = [], A._products
+    monkeypatch.setattr(A, "_products", lambda *x: (widths.append(len(w[2])) or w for w in products(*x)))
+    both = {(r[1], r[2]): pairs for r, pairs in A._Aligner(model)(prepared, A.Thresholds())}
+    assert len(both) == len(prepared) and max(widths) <= len(ids)
+    assert both == {(r[1], r[2]): pairs for one in prepared for r, pairs in A._Aligner(model)([one], A.Thresholds())}
+
+
+def test_cosines_of_a_text_in_one_block_are_made_once(monkeypatch):
+    made, block = [], A._Scores.block
+    monkeypatch.setattr(A._Scores, "block", lambda self, lo: made.append(lo) or block(self, lo))
+    a = np.eye(6, dtype=np.float32)
+    assert sorted(A.align_document(a, a, [frozenset()] * 6, [frozenset()] * 6)) == [(k, k) for k in range(6)] and made == [0]
